@@ -50,5 +50,8 @@ def parse(text: Column, kind: str) -> Column:
 
 
 def part(text: Column, index: int) -> Column:
-    """Part ``index`` of a text divided by ``|``; null if there is no such part."""
-    return F.try_element_at(F.split(text, r"[|]"), F.lit(index + 1))
+    """Part 0 or 1 of a text divided by ``|``; null if there is no such part."""
+    head = F.substring_index(text, "|", index + 1)
+    if index == 0:
+        return head
+    return F.when(F.contains(text, F.lit("|")), F.substring_index(head, "|", -1))

@@ -25,19 +25,19 @@ WEAK_TYPE = "RN"
 FOLLOWS = "-"
 
 
+def _lookup(code: Column, table: dict, default: str) -> Column:
+    result = F.lit(default)
+    for key, value in table.items():
+        result = F.when(code == key, F.lit(value)).otherwise(result)
+    return result
+
+
 def vat_rate(code: Column) -> Column:
-    number = code.try_cast("int")
-    rate = F.when(F.lit(False), F.lit(VAT_DEFAULT))
-    for key, value in VAT_RATES.items():
-        rate = rate.when(number == key, F.lit(value))
-    return rate.otherwise(F.lit(VAT_DEFAULT)).cast("decimal(5,2)")
+    return _lookup(code.try_cast("int"), VAT_RATES, VAT_DEFAULT).cast("decimal(5,2)")
 
 
 def press_group(code: Column) -> Column:
-    group = F.when(F.lit(False), F.lit(""))
-    for key, value in PRESS_GROUPS.items():
-        group = group.when(code == key, F.lit(value))
-    return group.otherwise(F.lit(""))
+    return _lookup(code, PRESS_GROUPS, "")
 
 
 def mentions(text: Column, word: str) -> Column:
