@@ -32,6 +32,15 @@ def check_keys(df: DataFrame, keys: Sequence[str] = ("hash",), what: str = "stag
     return df
 
 
+def check_present(df: DataFrame, columns: Sequence[str], what: str) -> DataFrame:
+    """Raises if one of the columns is null somewhere, else gives ``df`` back."""
+    missing = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    if any(missing):
+        shown = ", ".join(f"{c}: {missing[c]} rows" for c in columns if missing[c])
+        raise KeyViolation(f"{what}: missing values in {shown}")
+    return df
+
+
 def split_by_key(df: DataFrame, keys: Sequence[str] = ("hash",)) -> tuple[DataFrame, DataFrame]:
     """(rows with a good key, quarantined rows)."""
     bad = bad_keys(df, keys).select(*(F.col(k).alias(f"_bad_{k}") for k in keys))

@@ -174,9 +174,9 @@ def with_group(journal: DataFrame) -> DataFrame:
     )
 
 
-def positions(numbered: DataFrame) -> DataFrame:
+def positions(numbered: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Positions table from rows that have ``pos``, ``hash`` and ``hash_fuehrend``."""
-    return with_group(numbered).select(*_typed(POSITIONS))
+    return with_group(numbered).select(*_typed(POSITIONS), *extra)
 
 
 # --- calendar ---------------------------------------------------------------------
@@ -189,8 +189,3 @@ def calendar_days(receipt_rows: DataFrame) -> DataFrame:
 
 def load_calendar(calendar: DataFrame, receipt_rows: DataFrame) -> DataFrame:
     return insert_absent(calendar_days(receipt_rows), calendar, "datum")
-
-
-def columns_of(table: dict[str, str], df: DataFrame) -> DataFrame:
-    """``df`` reduced and typed to a table's columns."""
-    return df.select(*_typed(table))
