@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 MISSING = "nan"
 SEPARATOR = ":"
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+_BLANKS = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"  # as an SQL literal
 
 
 def canonical_text(df: DataFrame, names: Sequence[str]) -> Column:
@@ -21,16 +22,14 @@ def canonical_text(df: DataFrame, names: Sequence[str]) -> Column:
     Numbers must be integers or fixed-scale decimals, whose text form is stable;
     binary floats are refused.
     """
-    parts = []
+    schema, parts = df.schema, []
     for name in names:
-        kind = df.schema[name].dataType
+        kind = schema[name].dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             raise TypeError(f"{name}: cast to decimal before hashing")
-        text = F.col(name).cast("string")
-        if isinstance(kind, T.StringType):
-            text = F.btrim(text, F.lit(WHITESPACE))
-        parts.append(F.coalesce(text, F.lit(MISSING)))
-    return F.concat_ws(SEPARATOR, *parts)
+        text = f"btrim(`{name}`, {_BLANKS})" if isinstance(kind, T.StringType) else f"cast(`{name}` AS string)"
+        parts.append(f"coalesce({text}, '{MISSING}')")
+    return F.expr(f"concat_ws('{SEPARATOR}', {', '.join(parts)})")
 
 
 def business_key(df: DataFrame, names: Sequence[str]) -> Column:

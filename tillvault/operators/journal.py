@@ -22,8 +22,8 @@ SCOPE = "_datei"
 HEADER = ("eintrag_ts", "bon_beginn", "bon_abschluss", "bon_summe", "kdnr", "tse_info", "storno_ref")
 
 
-def _typed(columns: dict[str, str]) -> list[Column]:
-    return [F.col(n).cast(t).alias(n) for n, t in columns.items()]
+def _typed(df: DataFrame, columns: dict[str, str], extra: tuple[str, ...] = ()) -> DataFrame:
+    return df.selectExpr(*(f"cast({n} AS {t}) AS {n}" for n, t in columns.items()), *extra)
 
 
 def complete_lines(lines: DataFrame, load_ts: datetime | None) -> DataFrame:
@@ -83,7 +83,7 @@ def _position_hash() -> Column:
 
 
 def journal_rows(numbered: DataFrame) -> DataFrame:
-    return numbered.select(*_typed(JOURNAL))
+    return _typed(numbered, JOURNAL)
 
 
 # --- receipts ---------------------------------------------------------------------
@@ -176,7 +176,7 @@ def with_group(journal: DataFrame) -> DataFrame:
 
 def positions(numbered: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Positions table from rows that have ``pos``, ``hash`` and ``hash_fuehrend``."""
-    return with_group(numbered).select(*_typed(POSITIONS), *extra)
+    return _typed(with_group(numbered), POSITIONS, extra)
 
 
 # --- calendar ---------------------------------------------------------------------
@@ -184,7 +184,7 @@ def positions(numbered: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def calendar_days(receipt_rows: DataFrame) -> DataFrame:
     days = receipt_rows.select(F.col("bon_datum").alias("datum")).distinct()
-    return days.withColumns(calendar_parts(F.col("datum"))).select(*_typed(CALENDAR))
+    return _typed(days.withColumns(calendar_parts(F.col("datum"))), CALENDAR)
 
 
 def load_calendar(calendar: DataFrame, receipt_rows: DataFrame) -> DataFrame:

@@ -97,9 +97,9 @@ def stage(rows: DataFrame, export: str, pair: str, export_date: date, load_ts: d
         # After hashing: a unit of 0 that becomes 1 is no change.
         df = df.withColumn("preiseinheit", unit_default(F.col("preiseinheit")))
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *(
-            (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+            f"cast({name if name in present else 'NULL'} AS {kind}) AS {name}"
             for name, kind in stage_columns(shape).items()
         )
     )

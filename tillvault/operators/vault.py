@@ -61,12 +61,12 @@ def load_hub(hub: DataFrame, stage: DataFrame, pair: Pair, touch: bool = True) -
     the stage stay as they are.
     """
     h, s = hub.alias("h"), _hub_rows(stage, pair).alias("s")
-    columns = []
-    for name in hub_columns(pair):
-        newest = touch and name == "zuletzt_gesehen"
-        sides = (f"s.{name}", f"h.{name}") if newest else (f"h.{name}", f"s.{name}")
-        columns.append(F.coalesce(*sides).alias(name))
-    return h.join(s, F.col("h.hash") == F.col("s.hash"), "full_outer").select(*columns)
+    newest = ("zuletzt_gesehen",) if touch else ()
+    columns = (
+        f"coalesce(s.{n}, h.{n}) AS {n}" if n in newest else f"coalesce(h.{n}, s.{n}) AS {n}"
+        for n in hub_columns(pair)
+    )
+    return h.join(s, F.col("h.hash") == F.col("s.hash"), "full_outer").selectExpr(*columns)
 
 
 def bulk_hub(stages: DataFrame, pair: Pair) -> DataFrame:
@@ -119,28 +119,21 @@ def load_sat(sat: DataFrame, stage: DataFrame, pair: Pair, close_scope: str = "o
         raise ValueError(f"close_scope must be one of {CLOSE_SCOPES}")
     v, s = sat.alias("v"), _sat_rows(stage, pair).alias("s")
     names = list(sat_columns(pair))
-    known, staged = F.col("v.hash").isNotNull(), F.col("s.hash").isNotNull()
     # Only open versions meet a staged row; closed ones pass through the outer side.
     meets = (F.col("v.hash") == F.col("s.hash")) & F.col("v.gueltig")
-    closes = known & staged & changed(F.col("s.hash_diff"), F.col("v.hash_diff"))
-
-    ends = {
-        "eintrag_ets": F.col("s.eintrag_ats"),
-        "gueltig_edtm": F.col("s.gueltig_adtm"),
-        "gueltig": F.lit(False),
-    }
-    old = F.struct(
-        *(F.when(closes, ends[n]).otherwise(F.col(f"v.{n}")).alias(n) if n in ends else F.col(f"v.{n}") for n in names),
-        closes.alias("_zu"),
-    )
-    new = F.struct(*(F.col(f"s.{n}") for n in names), F.lit(False).alias("_zu"))
-    rows = (
-        v.join(s, meets, "full_outer")
-        .select(
-            F.when(closes, F.array(old, new)).when(known, F.array(old)).otherwise(F.array(new)).alias("zeilen")
-        )
-        .select(F.inline("zeilen"))
+    joined = v.join(s, meets, "full_outer").withColumn(
+        "_zu", F.coalesce(changed(F.col("s.hash_diff"), F.col("v.hash_diff")), F.lit(False))
     )
+    ends = {"eintrag_ets": "s.eintrag_ats", "gueltig_edtm": "s.gueltig_adtm", "gueltig": "false"}
+    fields = (f"if(_zu, {ends[n]}, v.{n}) AS {n}" if n in ends else f"v.{n}" for n in names)
+    old = F.expr(f"struct({', '.join(fields)}, _zu)")
+    new = F.expr(f"struct({', '.join(f's.{n}' for n in names)}, false AS _zu)")
+    rows = joined.select(
+        F.when(F.col("_zu"), F.array(old, new))
+        .when(F.col("v.hash").isNotNull(), F.array(old))
+        .otherwise(F.array(new))
+        .alias("zeilen")
+    ).select(F.inline("zeilen"))
     if close_scope == "all_versions":
         rows = _move_all_ends(rows)
     return rows.select(*names)

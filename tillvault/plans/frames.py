@@ -44,8 +44,21 @@ class Input:
     step_2: str
 
 
+# Given, so that no job has to open files to find out.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _of(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -254,6 +267,38 @@ ORDER = [
 ]
 
 
+# The receipt's header is made once per order, the rest of a line once per line.
+_HEADER = (
+    "o_orderkey",
+    "cast(o_custkey % 3 + 1 AS int) AS kasse_nr",
+    "o_orderdate + make_dt_interval(0, cast(8 + o_custkey % 12 AS int)) AS bon_abschluss",
+    "concat(o_custkey % 50, ' | Kasse') AS ma",
+    "if(o_orderpriority = '1-URGENT', NULL, o_custkey) AS kdnr",
+    "cast(o_totalprice AS decimal(18,2)) AS bon_summe",
+    "o_orderstatus AS tse_info",
+)
+_LINE = (
+    "bon_abschluss",
+    "if(tse_info = 'F', NULL, bon_abschluss - INTERVAL '5' MINUTE) AS bon_beginn",
+    "ma",
+    "kdnr",
+    "bon_summe",
+    "CASE l_returnflag WHEN 'R' THEN 'RN | Position' WHEN 'N' THEN 'BV' ELSE 'BV | Position' END AS typ",
+    "if(l_returnflag = 'R', '-', cast(l_partkey AS string)) AS art_nr",
+    """CASE WHEN l_tax < 0.03D THEN 'EINZAHLUNG bar' WHEN l_tax < 0.05D THEN 'Auszahlung'
+       ELSE concat('Artikel ', l_partkey) END AS art_bez""",
+    "if(l_quantity <= 4, 'WGR fehlt', concat(l_suppkey, ':0 | Gruppe ', l_suppkey)) AS warengruppe",
+    "cast(round(l_tax * 100) AS decimal(5,2)) AS mwst_satz",
+    "cast(if(l_linestatus = 'F', NULL, 1) AS decimal(18,3)) AS mengenfaktor",
+    "cast(l_quantity AS decimal(18,3)) AS menge",
+    "cast(l_extendedprice AS decimal(18,2)) AS preis_einzel",
+    "cast(if(l_quantity <= 4 AND l_discount = 0, 0D, l_extendedprice) AS decimal(18,2)) AS preis_gesamt",
+    "cast(NULL AS string) AS infotext",
+    "cast(NULL AS string) AS storno_ref",
+    "tse_info",
+)
+
+
 def _lines_with_header(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
     lines = block_hot_groups(
         table(spark, sf_dir, "lineitem"),
@@ -261,50 +306,14 @@ def _lines_with_header(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataF
         {"zeile": F.col("l_linenumber"), "artikel": F.shiftright("l_partkey", 6)},
         hot_rows,
     )
-    orders = table(spark, sf_dir, "orders")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumns(
-        {
-            "kasse_nr": (F.col("o_custkey") % 3 + 1).cast("int"),
-            "bon_nr": F.col("l_orderkey"),
-        }
-    )
+    headers = table(spark, sf_dir, "orders").selectExpr(*_HEADER)
+    joined = lines.join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.withColumn("bon_nr", F.col("l_orderkey"))
 
 
 def _as_journal_line(df: DataFrame) -> DataFrame:
-    closed = F.col("o_orderdate") + F.make_dt_interval(hours=(F.lit(8) + F.col("o_custkey") % 12).cast("int"))
-    without_group = F.col("l_quantity") <= 4
-    amount = F.col("l_extendedprice").cast("decimal(18,2)")
-    return df.select(
-        *(c for c in ("kasse_nr", "bon_nr", "pos", "hash", "hash_fuehrend") if c in df.columns),
-        closed.alias("bon_abschluss"),
-        F.when(F.col("o_orderstatus") != "F", closed - F.expr("INTERVAL '5' MINUTE")).alias("bon_beginn"),
-        F.concat((F.col("o_custkey") % 50).cast("string"), F.lit(" | Kasse")).alias("ma"),
-        F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")).alias("kdnr"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("bon_summe"),
-        F.when(F.col("l_returnflag") == "R", "RN | Position")
-        .when(F.col("l_returnflag") == "N", "BV")
-        .otherwise("BV | Position")
-        .alias("typ"),
-        F.when(F.col("l_returnflag") == "R", "-").otherwise(_text("l_partkey")).alias("art_nr"),
-        F.when(F.col("l_tax") < 0.03, "EINZAHLUNG bar")
-        .when(F.col("l_tax") < 0.05, "Auszahlung")
-        .otherwise(F.concat(F.lit("Artikel "), _text("l_partkey")))
-        .alias("art_bez"),
-        F.when(without_group, "WGR fehlt")
-        .otherwise(F.concat(_text("l_suppkey"), F.lit(":0 | Gruppe "), _text("l_suppkey")))
-        .alias("warengruppe"),
-        F.round(F.col("l_tax") * 100).cast("decimal(5,2)").alias("mwst_satz"),
-        F.when(F.col("l_linestatus") != "F", F.lit(1)).cast("decimal(18,3)").alias("mengenfaktor"),
-        F.col("l_quantity").cast("decimal(18,3)").alias("menge"),
-        amount.alias("preis_einzel"),
-        F.when(without_group & (F.col("l_discount") == 0), F.lit(0))
-        .otherwise(amount)
-        .cast("decimal(18,2)")
-        .alias("preis_gesamt"),
-        F.lit(None).cast("string").alias("infotext"),
-        F.lit(None).cast("string").alias("storno_ref"),
-        F.col("o_orderstatus").alias("tse_info"),
-    )
+    keys = [c for c in ("kasse_nr", "bon_nr", "pos", "hash", "hash_fuehrend") if c in df.columns]
+    return df.selectExpr(*keys, *_LINE)
 
 
 def journal(

@@ -35,6 +35,8 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        # Call-site capture costs several JVM calls per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
