@@ -113,17 +113,19 @@ def _load_journal(spark: SparkSession, load: Load, paths: str | Sequence[str], l
 
     # Files of one batch count as loaded one after the other, by name: of rows
     # with the same key the first file's stays. Insert-if-absent and this choice
-    # use the same key, so they share one shuffle. Journal, and positions have
-    # the same keys and are always loaded together: one anti-join serves both.
+    # use the same key, so they share one shuffle. Journal and positions have the
+    # same keys and are always loaded together: one anti-join serves both.
+    place = ["kasse_nr", "bon_nr", "pos"]
     known = within(load.current("kassenjournal_t"), raw, "bon_nr")
-    fresh = first_of_key(absent(numbered, known), ["hash"], [till.SCOPE])
+    fresh = first_of_key(absent(numbered, known, place), place, [till.SCOPE])
     fresh = by_month(fresh.select(*JOURNAL, "hash_fuehrend"), "bon_abschluss")
     fresh = load.stage("journal", fresh.sortWithinPartitions("bon_nr", "pos"))
 
     # Receipts come from all lines of their file, also from those known already.
     of_file = till.receipts(lines, scope=(till.SCOPE,))
     known = within(load.current("kassenbons_t"), raw, "bon_nr")
-    receipts = first_of_key(absent(of_file, known), ["hash"], [till.SCOPE]).drop(till.SCOPE)
+    bon = place[:2]
+    receipts = first_of_key(absent(of_file, known, bon), bon, [till.SCOPE]).drop(till.SCOPE)
 
     journal = load.append("kassenjournal_t", fresh.select(*JOURNAL, MONTH))
     load.append("kassenbons_pos_t", till.positions(fresh, extra=(MONTH,)))

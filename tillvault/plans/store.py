@@ -82,24 +82,29 @@ class Store:
 
     # tables -----------------------------------------------------------------------
 
-    def read(self, table: str, with_partitions: bool = False, only: str | None = None) -> DataFrame:
+    def read(self, table: str, months: tuple[str, str] | None = None, open_only: bool = False) -> DataFrame:
         """A table as of the newest manifest.
 
-        ``only`` keeps the folders ending in this partition (``gueltig=true``);
-        ``with_partitions`` adds the on-disk partition columns, for pruning.
+        ``months`` (first and last, as ``yyyy-MM``) restricts a till table to the
+        folders of these months, ``open_only`` a satellite to its open versions.
         """
         folders = self.manifest()[1]["tables"].get(table, [])
-        return self._frame(table, [f for f in folders if only is None or f.endswith(only)], with_partitions)
-
-    def _frame(self, table: str, folders: list[str], with_partitions: bool = False) -> DataFrame:
-        columns, parts = TABLES[table], PARTITIONS.get(table, {})
-        names = list(columns) + [p for p in parts if with_partitions and p not in columns]
-        schema = struct({**columns, **parts})
-        if not folders:
-            return self.spark.createDataFrame([], schema).select(*names)
-        base = f"{self.root}/{table}"
-        found = self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders))
-        return found.select(*names)
+        if open_only:
+            folders = [f for f in folders if f.endswith("gueltig=true")]
+        return self._frame(table, folders, months)
+
+    def _frame(self, table: str, folders: list[str], months: tuple[str, str] | None = None) -> DataFrame:
+        columns = TABLES[table]
+        schema = struct({**columns, **PARTITIONS.get(table, {})})
+        if folders:
+            base = f"{self.root}/{table}"
+            paths = [f"{base}/{f}" for f in folders]
+            found = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        else:
+            found = self.spark.createDataFrame([], schema)
+        if months:
+            found = found.filter(F.col(MONTH).between(*months))
+        return found.select(*columns)
 
     def begin(self) -> Load:
         version, content = self.manifest()
