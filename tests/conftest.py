@@ -15,7 +15,12 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cpus=4, memory="4g")
+    spark = local_session(cpus=8, memory="6g")
+    # Hundreds of small plans run once each: few partitions, and no time spent on
+    # compiling them. tests/compare.py runs the queries with code generation.
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    return spark
 
 
 @pytest.fixture

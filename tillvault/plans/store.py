@@ -66,7 +66,11 @@ class Store:
         versions = self._versions()
         if not versions:
             return 0, {"tables": {}, "marks": {}}
-        text = self.spark.read.text(self._manifest_file(versions[-1]), wholetext=True).first()[0]
+        stream = self._fs.open(self._path(self._manifest_file(versions[-1])))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
         return versions[-1], json.loads(text)
 
     def _publish(self, version: int, content: dict) -> None:
