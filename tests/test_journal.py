@@ -55,9 +55,10 @@ def frame(spark, lines, block_rows):
     return df.withColumn(ordering.BLOCK, F.struct(F.floor(F.col("_zeile") / block_rows).alias("teil"))).repartition(5)
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
+@pytest.mark.parametrize("block_rows,bucket_bits", [(7, 20), (7, 3), (1000, 14)])
 @pytest.mark.parametrize("seed,followers", [(1, 0.5), (2, 0.97), (3, 1.0), (4, 0.0)])
-def test_numbers_and_leading_positions(spark, seed, followers, block_rows):
+def test_numbers_and_leading_positions(spark, monkeypatch, seed, followers, block_rows, bucket_bits):
+    monkeypatch.setattr(ordering, "BUCKET_BITS", bucket_bits)
     lines = make_lines(seed, 400, followers=followers)
     df = frame(spark, lines, block_rows)
     got = till.number_with_leading(df, ["_zeile"], till.leads(F.col("art_nr"))).collect()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "_block"
 HOT_ROWS = 1 << 20
-BUCKET_BITS = 14
+BUCKET_BITS = 20
 
 
 def block_hot_groups(
@@ -109,11 +109,11 @@ def number_and_carry(
     )
     start = F.struct(till, receipt, BLOCK, (F.col("_von") + F.col("_davor")).alias(place), "_erste")
 
-    # Over the blocks of a bucket: a bucket spans 2^14 receipt numbers.
+    # Over the blocks of a bucket: a bucket spans 2^20 receipt numbers.
     in_bucket = Window.partitionBy(*scope, till, "_eimer").orderBy(receipt, BLOCK)
     last_end = F.last(end, ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1))
 
-    # Over the buckets of a file: one row per till and 2^14 receipt numbers.
+    # Over the buckets of a file: one row per till and 2^20 receipt numbers.
     in_scope = Window.partitionBy(*scope).orderBy(till, "_eimer")
     buckets = (
         blocks.groupBy(*scope, till, "_eimer")
