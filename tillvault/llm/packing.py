@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from tillvault.llm.common import id_and_text, task_base
 TIERS = (128, 256, 512, 1024)
 POOL = 1 << 20  # ids a task gathers before it packs them
 STEP_TOKENS = 1 << 14
-KEPT_WORDS = 300_000  # words whose ids a task remembers
+KEPT_WORDS = 500_000  # words whose ids a task remembers
 
 SCHEMA = pa.schema(
     [
@@ -58,15 +59,17 @@ class WordIds(dict):
     """Ids (little-endian unsigned 32 bits) of a word with the space before it.
 
     In a byte-level BPE a space before a non-space always starts a new piece, so
-    the ids of a text are those of its words. Words of plain letters and signs
-    below U+0250, which all Unicode tables class alike, are encoded from the same
-    vocabulary in its rank form, which is several times faster; others, and all
-    words where that form is not given, by the tokenizer itself.
+    the ids of a text are those of its words, and a word's last sign is a piece of
+    its own. Words of letters and signs below U+0250, which all Unicode tables
+    class alike, are encoded from the same vocabulary in its rank form, which is
+    several times faster; others, and all words where that form is not given, by
+    the tokenizer itself.
     """
 
     LOOSE = re.compile(r" (?!\S)")
     CUT = re.compile(r" (?=\S)")
-    PLAIN = re.compile(r"[\x20-\x7e\xa1-ɏ\n]*")
+    LINES = re.compile(r"([A-Za-z]+[.,;:!?|]?)\n([A-Za-z]+)")
+    PLAIN = re.compile(r"[\x20-\x7e\xa1-\u024f\n]*")
 
     def __init__(self, name: str, ranks: str | None):
         import public_tokenizers
@@ -75,7 +78,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.fast = None
+        self.fast = self.piece = None
         if ranks:
             import base64
 
@@ -83,21 +86,37 @@ class WordIds(dict):
 
             with open(public_tokenizers.path(ranks), "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding(
+            coder = tiktoken.Encoding(
                 "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
-            ).encode_ordinary
+            )
+            self.fast, self.piece = coder.encode_ordinary, coder._encode_single_piece
+        self.line = self.encode("\n")
+        self.signs = {sign: self.encode(sign) for sign in ".,;:!?|"}
 
     def encode(self, text: str) -> bytes:
         if self.fast and self.PLAIN.fullmatch(text):
             ids = self.fast(text)
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        ids = self[word] = self.encode(" " + word)
+        if word.isalpha():
+            if self.piece and (word.isascii() or max(word) < "\u0250"):
+                ids = array("I", self.piece(" " + word)).tobytes()
+            else:
+                ids = self.encode(" " + word)
+        elif (sign := self.signs.get(word[-1])) and word[:-1].isalpha():
+            ids = self[word[:-1]] + sign
+        elif self.piece and (parts := self.LINES.fullmatch(word)):
+            # The end of a line and the first word of the next: not worth keeping.
+            head, tail = parts.groups()
+            return self[head] + self.line + array("I", self.piece(tail)).tobytes()
+        else:
+            ids = self.encode(" " + word)
+        self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
