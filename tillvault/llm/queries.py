@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import packing
+from tillvault.llm import exact, packing
 from tillvault.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir))
+
+
+OP2_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op2_exact": OP2_SQL}
