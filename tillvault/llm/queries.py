@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import exact, minhash, packing
+from tillvault.llm import exact, langid, minhash, packing
 from tillvault.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op6_langid": op6_langid}
 
 
 def oracles() -> dict[str, str]:
