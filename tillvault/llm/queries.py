@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import exact, langid, minhash, packing
+from tillvault.llm import exact, langid, minhash, packing, toxicity
 from tillvault.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,13 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op6_langid": op6_langid}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid}
 
 
 def oracles() -> dict[str, str]:

@@ -105,3 +105,52 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[at[0] : at[-1]], at - at[0]
+
+
+PREFIXES = (4, 5, 6, 7)
+_NO_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def _terms(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of letters and digits, and of their first bytes."""
+    low = _LOWER[data]
+    # Upper-case letters of Latin-1 in UTF-8.
+    low[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) * np.uint8(32)
+    solid = ~_NO_WORD[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[starts] = solid[starts]
+    at = np.flatnonzero(solid)
+    if not len(at):
+        return at, np.zeros(0, np.uint32)
+    opens = begins[at]
+    opens[0] = True
+    first = np.flatnonzero(opens)
+    sizes = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
+    parts = _TABLE[(place % PLACES) * 256 + low[at]]
+    if (far := place >= PLACES).any():
+        parts[far] *= _FAR ** (place[far] // PLACES).astype(np.uint64)
+    places, hashes = [at[first]], [mix(np.add.reduceat(parts, first))]
+    for k in PREFIXES:
+        longer = sizes > k
+        cut = np.add.reduceat(np.where(place < k, parts, np.uint64(0)), first)
+        places.append(at[first][longer])
+        hashes.append(mix(cut[longer] + np.uint64(k)))
+    return np.concatenate(places), (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
+
+
+def term_hashes(data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The hashed terms (words and prefixes of words, 32 bits) of each text, in no order."""
+    starts = np.unique(ends[:-1])
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for a, b in _cuts(data, starts):
+        place, hashed = _terms(data[a:b], starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)] - a)
+        places.append(place + a)
+        hashes.append(hashed)
+    of = np.searchsorted(ends, np.concatenate(places), "right")
+    order = np.argsort(of, kind="stable")
+    found = np.concatenate(hashes)[order]
+    bounds = np.searchsorted(of[order], np.arange(1, len(ends) + 1))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield found[a:b]
