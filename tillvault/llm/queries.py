@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import exact, langid, minhash, packing, toxicity
+from tillvault.llm import ctph, exact, langid, minhash, packing, toxicity
 from tillvault.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.with_edits(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op9_ctph": op9_ctph}
 
 
 def oracles() -> dict[str, str]:
