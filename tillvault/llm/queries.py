@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import ctph, exact, langid, minhash, packing, toxicity
-from tillvault.llm.common import documents
+from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, toxicity, warc
+from tillvault.llm.common import documents, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +44,49 @@ def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.with_edits(documents(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(tune(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN strlen(payload) >= 100 AND page_id > least_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(payload) >= 100 AND page_id > least_id THEN least_id END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS payload,
+             min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id FROM pages)
+"""
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).drop("row")
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(documents(spark, sf_dir)).drop("kept_text", "spans")
+
+
+_LINES = """
+SELECT doc_id, i, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ') AS unit
+FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+"""
+OP10_SQL = f"""
+WITH lines AS ({_LINES}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1
+                     AND length(unit) - length(replace(unit, ' ', '')) >= 9 AS gone FROM lines),
+kept AS (SELECT doc_id, count(*) AS n_units, count_if(gone) AS n_removed,
+                coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest FROM ranked GROUP BY doc_id)
+SELECT doc_id, n_units, n_removed, length(coalesce(text, '')) AS n_chars, length(rest) AS kept_chars,
+       sha256(rest) AS kept_sha256
+FROM kept JOIN documents USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op9_ctph": op9_ctph}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_exact": OP2_SQL}
+    return {"op2_exact": OP2_SQL, "op7_warc": OP7_SQL, "op10_passages": OP10_SQL}
