@@ -94,3 +94,11 @@ def same_hash(column: Column, seed: int = 0) -> Column:
     # md5 is the one hash that every SQL engine has.
     digest = F.md5(F.concat_ws(":", column.cast("string"), F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing holds any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

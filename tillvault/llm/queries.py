@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, toxicity, warc
+from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, suffixes, toxicity, warc
 from tillvault.llm.common import documents, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -85,7 +89,7 @@ FROM kept JOIN documents USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages}
 
 
 def oracles() -> dict[str, str]:
