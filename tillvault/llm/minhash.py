@@ -13,10 +13,11 @@ concentration of t independent samples.
 3. In each bucket of a band all classes are held, on full sets, against the same one
    of them. That links most of a group, whatever its size, with as many comparisons
    as it has members.
-4. Where a bucket still has classes of several components, the classes of different
-   components are held against each other, unless their shingles that no other such
-   class has prove that they cannot reach the threshold. So every pair of the
-   buckets is linked already, compared or refuted; none is left out.
+4. Where a bucket still has classes of several components, all are held against the
+   one whose shingles are most common: the middle of a group of edited copies.
+5. Of what is then left, the pairs of different components are compared that share
+   one of their rarest shingles; others cannot reach the threshold (prefix filter).
+   So every pair of the buckets is linked already, compared or refuted.
 
 With 128 coordinates in bands of 4, a pair at similarity 0.75 shares a band but for
 5 in a million; at 0.8 but for 5 in 100 million.
@@ -168,45 +169,58 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.col("print").alias("a"), "b").distinct()
 
 
-def open_pairs(buckets: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket that are in different components and may still reach the threshold."""
-    named = buckets.join(labels, buckets["print"] == labels["node"], "left").select(
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, print, root) of the buckets that have classes of several components."""
+    named = buckets.join(labels.withColumnRenamed("node", "print"), "print", "left").select(
         "band", "print", F.coalesce("root", "print").alias("root")
     )
     mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    rows = named.join(mixed.select("band"), "band")
-    members = rows.select("print").distinct()
-    items = sets.join(members, "print").select("print", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("sets"), F.min("print").alias("print")).filter("sets = 1")
-    own = alone.groupBy("print").agg(F.count("*").alias("own"))
-    sized = members.join(sets.select("print", F.size("items").alias("n")), "print").join(own, "print", "left")
-    # inter <= shared and union >= n_b + own, so only sizes in [low, high] can be reached.
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    limits = sized.select(
+    return named.join(mixed.select("band"), "band")
+
+
+def ordered_sets(sets: DataFrame, prints: DataFrame) -> DataFrame:
+    """(print, n, score, items): shingles from the rarest on; score: how common a set's shingles are."""
+    items = sets.join(prints, "print").select("print", F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("sets"))
+    return items.join(common, "item").groupBy("print").agg(
+        F.count("*").alias("n"),
+        F.avg("sets").alias("score"),
+        F.sort_array(F.collect_list(F.struct("sets", "item"))).alias("items"),
+    )
+
+
+def middle_pairs(mixed: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Each class of a mixed bucket with the bucket's most common one, if that is of another component."""
+    scored = mixed.join(ordered.select("print", "score"), "print")
+    middle = scored.groupBy("band").agg(F.max(F.struct("score", "print", "root")).alias("m"))
+    pairs = mixed.join(middle.select("band", F.col("m.print").alias("b"), F.col("m.root").alias("other")), "band")
+    return pairs.filter("root <> other").select(F.col("print").alias("a"), "b").distinct()
+
+
+def open_pairs(mixed: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """The pairs of different components that may still reach the threshold.
+
+    In one order of all shingles, the first that such a pair shares leaves at least
+    ``overlap`` shingles in both sets from there on. So it is among the first
+    n - overlap + 1 of each; pairs are joined on those, rarest first, not on bands.
+    """
+    classes = mixed.select("print", "root").distinct().join(ordered, "print")
+    firsts = classes.select(
         "print",
+        "root",
         "n",
-        shared.alias("shared"),
-        F.ceil(F.col("n") * percent / 100).alias("least"),
-        (F.floor(shared * 100 / percent) - F.coalesce("own", F.lit(0))).alias("most"),
-    ).filter("least <= most")
-    rows = rows.join(limits, "print").join(
-        rows.join(limits, "print")
-        .groupBy("band")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("low <> high")
-        .select("band"),
-        "band",
-    )
-    a, b = rows.alias("a"), rows.alias("b")
-    fits = (
-        (F.col("a.print") < F.col("b.print"))
+        F.posexplode(F.slice("items", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("at", "e"),
+    ).select("print", "root", "n", (F.col("n") - F.col("at")).alias("left"), F.col("e.item").alias("item"))
+    a, b = firsts.alias("a"), firsts.alias("b")
+    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
+    reach = (F.col("a.left") >= overlap) & (F.col("b.left") >= overlap)
+    found = a.join(
+        b,
+        (F.col("a.item") == F.col("b.item"))
+        & (F.col("a.print") < F.col("b.print"))
         & (F.col("a.root") != F.col("b.root"))
-        & F.col("a.n").between(F.col("b.least"), F.col("b.most"))
-        & F.col("b.n").between(F.col("a.least"), F.col("a.most"))
+        & reach,
     )
-    most = F.least("a.shared", "b.shared")
-    reach = 100 * most >= percent * (F.col("a.n") + F.col("b.n") - most)
-    found = a.join(b, (F.col("a.band") == F.col("b.band")) & fits & reach)
     return found.select(F.col("a.print").alias("a"), F.col("b.print").alias("b")).distinct()
 
 
@@ -226,8 +240,13 @@ def near_duplicates(
     sets = written(sets.dropDuplicates(["print"]), "sets")
     links = written(verified(star_pairs(buckets), sets, percent), "links")
     labels = written(components(links), "labels")
-    more = written(verified(open_pairs(buckets, sets, labels, percent), sets, percent), "links")
-    labels = written(components(links.unionByName(more)), "labels")
+    mixed = written(mixed_buckets(buckets, labels), "mixed")
+    ordered = written(ordered_sets(sets, mixed.select("print").distinct()), "ordered")
+    links = links.unionByName(written(verified(middle_pairs(mixed, ordered), sets, percent), "links"))
+    labels = written(components(links), "labels")
+    mixed = mixed_buckets(mixed.select("band", "print"), labels)
+    links = links.unionByName(written(verified(open_pairs(mixed, ordered, percent), sets, percent), "links"))
+    labels = written(components(links), "labels")
 
     ids = classes.select("print", "least")
     named = ids.join(labels.withColumnRenamed("node", "print"), "print")
