@@ -8,7 +8,7 @@ of largest cosine; its score is that cosine. It is rejected if it has no letter,
 if its distance is beyond what the language's own documents of its length show.
 
 Defined results: ``und`` with score 0 and rejected where the text is null, empty or
-has no letter, or nothing could be learned; rows that repeat are predicted each;
+has no letter; ``und`` with score 0 where nothing could be learned; rows that repeat are predicted each;
 rows with a null language or id are not learned from; an empty table gives no rows.
 """
 
@@ -187,8 +187,6 @@ def predictor(model: Model | None, texts_at: int, width: int):
                     names = [model.languages[k] if letter else UNKNOWN for k, letter in zip(language, has_letter)]
                     scores = np.where(has_letter, np.clip(cosine, 0, 1), 0).astype(np.float64)
                     rejected |= far
-                else:
-                    rejected |= True
                 out = [pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k) for k in range(width)), *out],

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillvault.llm.common import id_and_text, map_batches, written
+from tillvault.llm.common import id_and_text, map_batches, utf8, written
 from tillvault.llm.components import components
 from tillvault.llm.exact import is_marked
 from tillvault.llm.shingles import flat, mix, shingle_sets
@@ -95,7 +95,7 @@ def _print(items: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, print, bands)."""
+    """(doc_id, text) -> (doc_id, text_md5, n_shingles, print, bands)."""
     made: list[Sketcher] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,14 +109,15 @@ def sketches(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                pa.array([hashlib.md5(view).hexdigest() for view in utf8(batch.column(1))], pa.string()),
                 pa.array(sizes, pa.int64()),
                 pa.array(prints, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "print", "bands"],
+            ["doc_id", "text_md5", "n_shingles", "print", "bands"],
         )
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, print binary, bands array<long>")
+    return map_batches(docs, run, "doc_id long, text_md5 string, n_shingles long, print binary, bands array<long>")
 
 
 def _slot(print_: bytes, bits: int) -> int:
@@ -227,7 +228,7 @@ def open_pairs(mixed: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bits: int = BITMAP_BITS
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+    """(doc_id, n_shingles, component_id, kept, text_md5) of every row."""
     texts = id_and_text(docs, id_col, text_col)
     sketched = written(sketches(texts), "sketches")
     classes = sketched.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
@@ -253,7 +254,7 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "root").select("print", "component_id")
     all_classes = ids.join(linked, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "print").join(all_classes, "print", "left")
+    out = sketched.select("doc_id", "text_md5", "n_shingles", "print").join(all_classes, "print", "left")
     # Only rows without a set have no class.
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -261,4 +262,5 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_md5",
     )

@@ -32,7 +32,7 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("text_md5")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
