@@ -11,14 +11,15 @@ counts is the input, not what is left.
    one bucket at a time. What counts of a rank is whether another suffix shares it.
 3. Two equal strings have a shared rank less than V bytes after their starts. So only
    suffixes that have one there can tie with another; all others are unique and never
-   sorted. The suffixes in question are dealt to buckets by their first SIZE bytes and
-   again sorted one bucket at a time; ties are the repeated strings.
+   sorted. The suffixes in question are dealt to buckets by their first SIZE bytes, in
+   PASSES passes that move one after the other, and again sorted one bucket at a time;
+   ties are the repeated strings.
 4. Their places go back to the blocks, where they are joined to runs and cut out.
 
 A bucket holds a bounded number of suffixes: there are as many buckets as the table
 needs. Within a segment of a block equal suffixes are one entry, so a string that
-every document has is at most one entry a segment. Equal documents count as one in
-steps 2 and 3; they are found by their digests and removed whole.
+every document has is at most one entry a segment. Equal documents are found by their
+digests and removed whole; only the first of them takes part in step 3.
 
 Suffixes are sorted by 64-bit hashes of their bytes, and buckets are ranges of other
 hashes: about one in 10^20 pairs of different strings of a bucket counts as a tie.
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,7 @@ ORDER = 11  # the cover's: modulo 11^2 + 11 + 1 with 12 places
 BLOCK = 1 << 20
 SEGMENT = 1 << 20
 PER_BUCKET = 1 << 21  # suffixes of a bucket, about
+PASSES = 4  # over the suffixes in question: a quarter of the buckets moves at a time
 
 
 def difference_cover(q: int) -> tuple[int, list[int]]:
@@ -115,13 +118,19 @@ class Block:
         for number, a in enumerate(range(0, len(self.data), SEGMENT)):
             yield number, a, min(a + SEGMENT, len(self.data))
 
-    def entries(self, places: np.ndarray, a: int, b: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def entries(
+        self, places: np.ndarray, a: int, b: int, length: int, buckets: int = 1, only: int | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the places of a segment: (distinct hashes, who has them, the entry of each place).
 
         Who is a hash of (document's text, place in it), 0 where there are several.
+        ``only``: the pass whose buckets count.
         """
         sums = self.h.sums(self.data[a : b + self.h.size])
         hashes = self.h.at(sums, places - a, length)
+        if only is not None:
+            mine = bucket_of(hashes, buckets) % np.uint64(PASSES) == only
+            places, hashes = places[mine], hashes[mine]
         doc = np.searchsorted(self.ends, places, "right") - 1
         who = mix(self.names[doc] + (places - self.ends[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         who |= np.uint64(1) << np.uint64(32) | np.uint64(1)
@@ -140,9 +149,12 @@ class Block:
     def covered(self, a: int, b: int, places: np.ndarray) -> np.ndarray:
         return places[np.searchsorted(places, a) : np.searchsorted(places, b)]
 
-    def open_runs(self, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[start, end) of the suffixes that have a shared rank less than V bytes on."""
+    def open_runs(self, ranked: np.ndarray, extra: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """[start, end) of the suffixes that have a shared rank less than V bytes on, but for ``extra`` documents."""
         doc = np.searchsorted(self.ends, ranked, "right") - 1
+        if extra:
+            own = ~np.isin(doc, extra)
+            doc, ranked = doc[own], ranked[own]
         low = np.maximum(ranked - self.h.v + 1, self.ends[doc])
         high = np.minimum(ranked + 1, self.ends[doc + 1] - self.h.size + 1)
         return joined(low[high > low], high[high > low])
@@ -169,13 +181,18 @@ def spread(low: np.ndarray, high: np.ndarray, a: int, b: int) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(starts - low, sizes)
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the hashes' upper halves."""
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def _bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among sorted hashes; buckets are ranges of their upper halves."""
-    of = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    """Where each bucket begins among sorted hashes."""
+    return np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1, dtype=np.uint64))
 
 
 _BLOCKS = "block long, ids array<long>, ends array<long>, prints array<binary>, data binary"
+_OPEN = f"{_BLOCKS}, copies array<int>, low array<long>, high array<long>"
 _DEALT = "bucket int, block long, segment int, entries binary"
 _MARKS = "block long, segment int, bucket int, marks binary"
 
@@ -291,12 +308,15 @@ def _ranked_places(block: Block, row: dict, buckets: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _spans(block: Block, row: dict, rank_buckets: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _runs(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(row["low"], np.int64), np.array(row["high"], np.int64)
+
+
+def _spans(block: Block, row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """[start, end) of the bytes to remove, in the block."""
-    low, high = block.open_runs(_ranked_places(block, row, rank_buckets))
     starts = []
     for number, a, b in block.segments():
-        places = spread(low, high, a, b)
+        places = spread(*_runs(row), a, b)
         hashes, _, entry = block.entries(places, a, b, block.h.size)
         starts.append(places[_marks_of(row, "ties", number, hashes, buckets)[entry]])
     begin = np.concatenate(starts) if starts else np.zeros(0, np.int64)
@@ -345,14 +365,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if (out := _dealt(row["block"], number, hashes, who, rank_buckets, True)) is not None:
                     yield out
 
-    def deal_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        kinds = [pa.int64(), longs, longs, pa.list_(pa.binary()), pa.binary(), ints, longs, longs]
+        names = ["block", "ids", "ends", "prints", "data", "copies", "low", "high"]
         for row in _rows(batches):
             block = _block(made(), row)
-            low, high = block.open_runs(_ranked_places(block, row, rank_buckets))
-            for number, a, b in block.segments():
-                hashes, who, _ = block.entries(spread(low, high, a, b), a, b, block.h.size)
-                if (out := _dealt(row["block"], number, hashes, who, buckets, False)) is not None:
-                    yield out
+            low, high = block.open_runs(_ranked_places(block, row, rank_buckets), row["extra"] or [])
+            values = [row["block"], row["ids"], row["ends"], row["prints"], row["data"], row["copies"] or [], low, high]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+    def deal_open(only: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                block = _block(made(), row)
+                for number, a, b in block.segments():
+                    places = spread(*_runs(row), a, b)
+                    hashes, who, _ = block.entries(places, a, b, block.h.size, buckets, only)
+                    if (out := _dealt(row["block"], number, hashes, who, buckets, False)) is not None:
+                        yield out
+
+        return run
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -360,7 +393,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * with_text
         for row in _rows(batches):
             block = _block(made(), row)
-            begin, end = _spans(block, row, rank_buckets, buckets)
+            begin, end = _spans(block, row, buckets)
             data, rows = block.data.tobytes(), []
             for doc_id, a, b in zip(row["ids"], row["ends"], row["ends"][1:]):
                 i, j = np.searchsorted(begin, a), np.searchsorted(begin, b)
@@ -372,17 +405,34 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rows.append(out + [kept] * with_text)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    def sorted_marks(dealt: DataFrame, narrow: bool, name: str) -> DataFrame:
-        marks = written(dealt.groupBy("bucket").applyInArrow(_sort_bucket(narrow), _MARKS), name)
-        release(spark)
+    def sorted_marks(dealt: DataFrame, narrow: bool) -> DataFrame:
+        return written(dealt.groupBy("bucket").applyInArrow(_sort_bucket(narrow), _MARKS), "marks")
+
+    def by_block(marks: DataFrame, name: str) -> DataFrame:
         # As many rows for a block as it has segments and buckets.
         return marks.groupBy("block").agg(F.collect_list(F.struct("segment", "bucket", "marks")).alias(name))
 
-    ranks = sorted_marks(blocks.mapInArrow(deal_cover, _DEALT), True, "ranks")
-    ranked = blocks.join(ranks, "block")  # blocks without a cover have nothing to remove
-    ties = sorted_marks(ranked.mapInArrow(deal_open, _DEALT), False, "ties")
-    prints = blocks.select("block", F.posexplode("prints").alias("doc", "print"))
-    several = prints.groupBy("print").agg(F.count("*").alias("rows")).filter("rows > 1").select("print")
-    copies = prints.join(several, "print").groupBy("block").agg(F.collect_list("doc").alias("copies"))
-    whole = blocks.join(ranks, "block", "left").join(ties, "block", "left").join(copies, "block", "left")
+    ranks = sorted_marks(blocks.mapInArrow(deal_cover, _DEALT), True)
+    release(spark)
+    found = blocks.join(by_block(ranks, "ranks"), "block", "left").join(copies_of(blocks), "block", "left")
+    opened = written(found.mapInArrow(to_open, _OPEN), "open")
+    release(spark)
+    ties = []
+    for only in range(PASSES):
+        ties.append(sorted_marks(opened.filter(F.size("low") > 0).mapInArrow(deal_open(only), _DEALT), False))
+        release(spark)
+    whole = opened.join(by_block(reduce(DataFrame.unionByName, ties), "ties"), "block", "left")
     return whole.mapInArrow(cut, _OUT + ", kept binary" * with_text)
+
+
+def copies_of(blocks: DataFrame) -> DataFrame:
+    """(block, copies, extra): the documents whose text another has, and those of them that are not the first."""
+    prints = blocks.select("block", F.posexplode("prints").alias("doc", "print"))
+    place = F.struct("block", "doc")
+    several = prints.groupBy("print").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    later = F.when(place != F.col("first"), F.col("doc"))
+    return (
+        prints.join(several, "print")
+        .groupBy("block")
+        .agg(F.collect_list("doc").alias("copies"), F.collect_list(later).alias("extra"))
+    )
