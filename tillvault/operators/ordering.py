@@ -26,10 +26,10 @@ def block_hot_groups(
     ``parts`` must not decrease along the order. For data whose place in a file
     is unknown; rows read in file order have their block already.
     """
-    # At most one row per ``hot_rows`` rows of the table can pass the filter:
-    # under a million keys for 10^12 rows, so the broadcast is bounded.
+    # At most one row per ``hot_rows`` rows of the table passes the filter; how it is
+    # joined is left to its measured size.
     hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = F.broadcast(hot.select(*group, F.lit(True).alias("_heiss")))
+    hot = hot.select(*group, F.lit(True).alias("_heiss"))
     block = F.struct(*(F.when(F.col("_heiss"), c).alias(n) for n, c in parts.items()))
     return df.join(hot, list(group), "left").withColumn(BLOCK, block)
 

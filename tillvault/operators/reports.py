@@ -19,24 +19,28 @@ WEEKDAYS = ("mo", "di", "mi", "do", "fr", "sa", "so")
 
 
 def order_aid(
-    positions: DataFrame, receipts: DataFrame, groups: Sequence[str], until: date, weeks: int = 4
+    positions: DataFrame, receipts: DataFrame, groups: Sequence[str] | DataFrame, until: date, weeks: int = 4
 ) -> DataFrame:
     """Mean quantity per article and weekday over the last ``weeks`` weeks before ``until``.
 
-    A day without sales counts as zero. The period and the groups are filtered
-    before the join, so only their months and rows are read.
+    ``groups`` are product groups, or rows that have them in ``wgr``. A day without
+    sales counts as zero. Receipts and groups are filtered before the join.
     """
     since = until - timedelta(weeks=weeks)
     day = receipts.filter((F.col("bon_datum") >= F.lit(since)) & (F.col("bon_datum") < F.lit(until))).select(
-        F.col("hash").alias("hash_bon"), (F.weekday("bon_datum") + 1).alias("wtag")
+        "kasse_nr", "bon_nr", (F.weekday("bon_datum") + 1).alias("wtag")
     )
-    sold = positions.filter(F.col("wgr").isin(*groups)).select("hash_bon", "art_nr", "menge")
+    sold = positions.select("kasse_nr", "bon_nr", "wgr", "art_nr", "menge")
+    if isinstance(groups, DataFrame):
+        sold = sold.join(groups.select("wgr").distinct(), "wgr", "left_semi")
+    else:
+        sold = sold.filter(F.col("wgr").isin(*groups))
     per_day = {
         name: F.coalesce(F.sum(F.when(F.col("wtag") == i, F.col("menge"))), F.lit(0)) / weeks
         for i, name in enumerate(WEEKDAYS, start=1)
     }
     return (
-        sold.join(day, "hash_bon")
+        sold.join(day, ["kasse_nr", "bon_nr"])
         .groupBy("art_nr")
         .agg(*(c.cast("decimal(18,3)").alias(name) for name, c in per_day.items()))
     )
@@ -103,12 +107,12 @@ def month_totals(receipts: DataFrame, positions: DataFrame) -> DataFrame:
     Positions are summed per receipt before the join, so the join is one to one
     and a long receipt is no hot key.
     """
-    per_receipt = positions.groupBy("hash_bon").agg(
+    per_receipt = positions.groupBy("kasse_nr", "bon_nr").agg(
         F.count(F.lit(1)).alias("n"), F.sum("menge").alias("menge"), F.sum("preis_gesamt").alias("umsatz")
     )
-    days = receipts.select(F.col("hash").alias("hash_bon"), month_text(F.col("bon_datum")).alias("monat"))
+    days = receipts.select("kasse_nr", "bon_nr", month_text(F.col("bon_datum")).alias("monat"))
     return (
-        days.join(per_receipt, "hash_bon")
+        days.join(per_receipt, ["kasse_nr", "bon_nr"])
         .groupBy("monat")
         .agg(
             F.count(F.lit(1)).alias("bons"),

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tillvault.schemas import OPEN_DATE, OPEN_TS, Pair, hub_columns, sat_columns, struct
 
 CLOSE_SCOPES = ("open_version", "all_versions")
+# In bulk, exports count as loaded by date; those of one date by load time, then source.
+LOAD_ORDER = ("export_datum", "eintrag_ts", "quelle")
 
 
 def open_ts() -> Column:
@@ -70,8 +72,8 @@ def load_hub(hub: DataFrame, stage: DataFrame, pair: Pair, touch: bool = True) -
 
 
 def bulk_hub(stages: DataFrame, pair: Pair) -> DataFrame:
-    """The hub from all stages stacked, in the order of their export dates."""
-    first = F.min_by(F.struct("eintrag_ts", "export_datum", "quelle", *pair.keys), F.col("export_datum"))
+    """The hub from all stages stacked, in the order of their loads (see ``LOAD_ORDER``)."""
+    first = F.min_by(F.struct("eintrag_ts", "export_datum", "quelle", *pair.keys), F.struct(*LOAD_ORDER))
     seen = stages.groupBy("hash").agg(first.alias("f"), F.max("export_datum").alias("zuletzt_gesehen"))
     return seen.select(
         "hash",
@@ -161,9 +163,9 @@ def bulk_sat(stages: DataFrame, pair: Pair) -> DataFrame:
     """The whole history from all stages stacked: the backfill form of ``load_sat``.
 
     One shuffle on the key whatever the number of exports; equal to loading them
-    one by one in the order of their export dates.
+    one by one in ``LOAD_ORDER``.
     """
-    in_time = Window.partitionBy("hash").orderBy("export_datum")
+    in_time = Window.partitionBy("hash").orderBy(*LOAD_ORDER)
     before = F.lag("hash_diff").over(in_time)
     versions = (
         stages.withColumn("_vorher", before)

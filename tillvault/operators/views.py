@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillvault.functions.lookups import FOLLOWS
 from tillvault.schemas import Pair
 
 
@@ -44,15 +45,20 @@ def sold_as(positions: DataFrame, receipts: DataFrame, articles: DataFrame, attr
     ``articles`` is ``history`` of the articles. Positions of unknown articles, or
     older than the first version, keep nulls. An article has few versions, so the
     equi-join on its number with the dates as a residual stays linear; a best
-    seller is a skewed partition on the positions' side only.
+    seller is a skewed partition on the positions' side only. Receipts are
+    joined by their numbers. Lines that follow another have no article and take
+    no part in the join, which they would all meet on one key.
     """
-    day = receipts.select(F.col("hash").alias("hash_bon"), "bon_datum")
+    day = receipts.select("kasse_nr", "bon_nr", "bon_datum")
     versions = articles.select(
         F.col("art_nr").alias("_art_nr"), "gueltig_adtm", "gueltig_edtm", *(F.col(a).alias(f"art_{a}") for a in attributes)
     )
-    sold = positions.select("hash", "hash_bon", "art_nr", "menge", "preis_gesamt").join(day, "hash_bon")
+    bon = ["kasse_nr", "bon_nr"]
+    sold = positions.select("hash", *bon, "art_nr", "menge", "preis_gesamt").join(day, bon).drop(*bon)
+    follows = F.coalesce(F.col("art_nr"), F.lit(FOLLOWS)) == FOLLOWS
     match = (F.col("art_nr") == F.col("_art_nr")) & valid_on(F.col("bon_datum"))
-    return sold.join(versions, match, "left").drop("_art_nr", "gueltig_adtm", "gueltig_edtm")
+    found = sold.filter(~follows).join(versions, match, "left").drop("_art_nr", "gueltig_adtm", "gueltig_edtm")
+    return found.unionByName(sold.filter(follows), allowMissingColumns=True)
 
 
 def main_ean(positions: DataFrame, mean: DataFrame) -> DataFrame:

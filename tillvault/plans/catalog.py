@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +21,8 @@ SPLIT_DAY = date(1998, 7, 1)
 AS_OF_DAY = date(2023, 3, 15)
 ORDER_UNTIL = date(1999, 3, 1)
 ORDER_WEEKS = 4
-BAKERY = tuple(f"{n}:0" for n in range(0, 100, 2))
-MEAT = tuple(f"{n}:0" for n in range(1, 100, 2))
+BAKERY = "s_nationkey % 2 = 0"  # the suppliers whose groups are bakery
+MEAT = "s_nationkey % 2 = 1"
 
 
 def stacked(parts: list[DataFrame]) -> DataFrame:
@@ -56,7 +56,7 @@ def hub_bulk(load: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sat_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same export loaded twice: the second load changes nothing."""
-    once = frames.snapshots(spark, sf_dir, "articles")[0]
+    once = frames.staged(spark, sf_dir, "articles")
     return vault.replay([once, once], frames.pair_of("articles"))[1]
 
 
@@ -67,6 +67,12 @@ def sat_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.replay([articles, press], frames.pair_of("articles"))[1]
 
 
+def hub_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and press articles of one date, stacked against their order: articles come first."""
+    stages = [frames.staged(spark, sf_dir, load) for load in ("press_articles", "articles")]
+    return vault.bulk_hub(stacked(stages), frames.pair_of("articles"))
+
+
 def _vault(spark: SparkSession, sf_dir: str, load: str, days=frames.DATES) -> tuple[DataFrame, DataFrame]:
     """Hub and satellite of a load, by the bulk form."""
     pair = frames.pair_of(load)
@@ -117,7 +123,7 @@ def journal_anti_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The early receipts are loaded; a later file brings everything: only the rest is added."""
     old = _journal(spark, sf_dir).filter(_before_split("bon_abschluss"))
     new = till.journal_rows(frames.journal(spark, sf_dir, frames.RELOAD_TS))
-    return insert.insert_absent(new, old).select("hash", "eintrag_ts", "kasse_nr", "bon_nr", "pos")
+    return insert.insert_absent(new, old)
 
 
 def receipt_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +139,7 @@ def receipt_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipts_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _receipts(spark, sf_dir).filter(F.col("bon_datum") < F.lit(SPLIT_DAY))
     new = till.receipts(till.journal_rows(frames.journal(spark, sf_dir, frames.RELOAD_TS)))
-    return insert.insert_absent(new, old).select("hash", "eintrag_ts", "kasse_nr", "bon_nr", "bon_typ", "bon_datum")
+    return insert.insert_absent(new, old)
 
 
 def positions_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +152,9 @@ def leading_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = frames.journal(spark, sf_dir).filter(_before_split("bon_abschluss")).select("hash")
+    old = till.positions(frames.journal_with_leading(spark, sf_dir).filter(_before_split("bon_abschluss")))
     new = till.positions(frames.journal_with_leading(spark, sf_dir, frames.RELOAD_TS))
-    return insert.absent(new, old)
+    return insert.insert_absent(new, old)
 
 
 def _receipt_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +184,8 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.last_change(_receipts(spark, sf_dir))
+    """Of receipts that came with two loads."""
+    return status.last_change(receipts_load(spark, sf_dir))
 
 
 def last_file_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +209,7 @@ def asof_sale(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = views.history(*_vault(spark, sf_dir, "articles", frames.SALE_DATES), pair)
     rows = till.with_group(frames.journal(spark, sf_dir))
     days = _receipts(spark, sf_dir)
-    return views.sold_as(rows, days, articles, ["vk_brutto", "wgr"]).drop("hash_bon")
+    return views.sold_as(rows, days, articles, ["vk_brutto", "wgr"])
 
 
 def ean_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,9 +230,14 @@ def voids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.voids(marked)
 
 
-def order_aid(groups: tuple[str, ...], spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = till.with_group(frames.journal(spark, sf_dir))
-    return reports.order_aid(rows, _receipts(spark, sf_dir), groups, ORDER_UNTIL, ORDER_WEEKS)
+def order_aid(suppliers: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of some suppliers. Only the period's orders and their lines are read on."""
+    period = (ORDER_UNTIL - timedelta(weeks=ORDER_WEEKS), ORDER_UNTIL)
+    rows = frames.journal(spark, sf_dir, period=period)
+    groups = frames.table(spark, sf_dir, "supplier").filter(suppliers)
+    groups = groups.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(":0")).alias("wgr"))
+    receipts = till.receipts(till.journal_rows(rows))
+    return reports.order_aid(till.with_group(rows), receipts, groups, ORDER_UNTIL, ORDER_WEEKS)
 
 
 def inventory_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +285,7 @@ def catalog() -> dict[str, Query]:
         "sat_idempotent": sat_idempotent,
         "sat_close_all_versions": partial(sat_history, "articles", close_scope="all_versions"),
         "sat_two_sources": sat_two_sources,
+        "hub_two_sources": hub_two_sources,
         "journal_positions": journal_positions,
         "journal_per_till": journal_per_till,
         "journal_anti_load": journal_anti_load,

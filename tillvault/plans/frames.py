@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date, datetime, time
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +105,7 @@ def _articles(df: DataFrame, step: Column) -> DataFrame:
         F.col("p_name").alias("bontext"),
         F.lit("Stk").alias("mengeneinheit"),
         F.lit(None).cast("string").alias("mengentyp"),
-        F.lit(1).cast("decimal(6,3)").alias("gpfaktor"),
+        F.lit(1).cast("decimal(18,3)").alias("gpfaktor"),
         F.col("p_brand").alias("wgr"),
         _text("p_size").alias("uwgr"),
         F.lit("J").alias("rabatt_kz"),
@@ -299,14 +299,23 @@ _LINE = (
 )
 
 
-def _lines_with_header(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+def _lines_with_header(
+    spark: SparkSession, sf_dir: str, hot_rows: int, period: tuple[date, date] | None = None
+) -> DataFrame:
     lines = block_hot_groups(
         table(spark, sf_dir, "lineitem"),
         ["l_orderkey"],
         {"zeile": F.col("l_linenumber"), "artikel": F.shiftright("l_partkey", 6)},
         hot_rows,
     )
-    headers = table(spark, sf_dir, "orders").selectExpr(*_HEADER)
+    orders = table(spark, sf_dir, "orders")
+    if period:
+        # A receipt is closed on the day of its order or the next: a bound that the scan can use, then the exact one.
+        first, end = (F.lit(d).cast("timestamp_ntz") for d in (period[0] - timedelta(days=1), period[1]))
+        orders = orders.filter((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < end))
+    headers = orders.selectExpr(*_HEADER)
+    if period:
+        headers = headers.filter(F.to_date("bon_abschluss").between(period[0], period[1] - timedelta(days=1)))
     joined = lines.join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.withColumn("bon_nr", F.col("l_orderkey"))
 
@@ -317,13 +326,20 @@ def _as_journal_line(df: DataFrame) -> DataFrame:
 
 
 def journal(
-    spark: SparkSession, sf_dir: str, load_ts: datetime = JOURNAL_TS, per_till: bool = False, hot_rows: int = HOT_ROWS
+    spark: SparkSession,
+    sf_dir: str,
+    load_ts: datetime = JOURNAL_TS,
+    per_till: bool = False,
+    hot_rows: int = HOT_ROWS,
+    period: tuple[date, date] | None = None,
 ) -> DataFrame:
     """Numbered journal rows: one per lineitem row, with its order as the header.
 
+    ``period`` (first day, day after the last) restricts them to receipts of these days.
+
     Numbering comes first, while rows are narrow; texts are made after the shuffle.
     """
-    lines = _lines_with_header(spark, sf_dir, hot_rows)
+    lines = _lines_with_header(spark, sf_dir, hot_rows, period)
     numbered = till.number_positions(lines, ORDER, (), F.col("_heiss"), per_till)
     return till.complete_lines(_as_journal_line(numbered), load_ts)
 

@@ -40,6 +40,8 @@ def run_import(
     """
     if on_bad_keys not in ("raise", QUARANTINE):
         raise ValueError(f"on_bad_keys must be 'raise' or {QUARANTINE!r}")
+    if export == "journal" and on_bad_keys == QUARANTINE:
+        raise ValueError("the journal has no quarantine: lines without a key stop its load")
     tune(spark)
     load = store.begin()
     load.marks.update(marks or {})

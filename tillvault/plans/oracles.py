@@ -9,6 +9,7 @@ from __future__ import annotations
 from datetime import date
 
 from tillvault.plans import catalog, frames
+from tillvault.schemas import RECEIPTS as RECEIPT_COLUMNS
 from tillvault.schemas import EXPORTS, JOURNAL, PAIRS, POSITIONS, stage_columns
 
 
@@ -173,9 +174,11 @@ def snapshots(load: str, days=frames.DATES) -> str:
 
 
 def hub(load: str, seen: str, stages: str | None = None) -> str:
-    keys = ", ".join(f"arg_min({k}, export_datum) AS {k}" for k in frames.pair_of(load).keys)
+    # Sources of one date follow each other by load time and name.
+    order = "strftime(export_datum, '%Y%m%d') || strftime(eintrag_ts, '%Y%m%d%H%M%S') || quelle"
+    keys = ", ".join(f"arg_min({k}, {order}) AS {k}" for k in frames.pair_of(load).keys)
     return f"""SELECT hash, min(eintrag_ts) AS eintrag_ats, min(export_datum) AS gueltig_adtm,
-        {seen}(export_datum) AS zuletzt_gesehen, arg_min(quelle, export_datum) AS quelle, {keys}
+        {seen}(export_datum) AS zuletzt_gesehen, arg_min(quelle, {order}) AS quelle, {keys}
         FROM ({stages or snapshots(load)}) GROUP BY hash"""
 
 
@@ -241,15 +244,12 @@ LINES = """
    CASE WHEN o_orderstatus = 'F' THEN bon_abschluss ELSE bon_abschluss - INTERVAL 5 MINUTE END AS bon_beginn
   FROM l)"""
 
-RECEIPTS = """
- t AS (SELECT kasse_nr, bon_nr, bon_typ, CASE WHEN bon_typ = 'RN' THEN -1 ELSE 1 END AS rang
-       FROM j GROUP BY kasse_nr, bon_nr, bon_typ),
- m AS (SELECT kasse_nr, bon_nr, max(rang) AS rang FROM t GROUP BY kasse_nr, bon_nr),
- h AS (SELECT DISTINCT eintrag_ts, kasse_nr, bon_nr, bon_beginn, bon_abschluss, bon_summe, kdnr, tse_info,
-        storno_ref FROM j),
- b AS (SELECT md5(kasse_nr || ':' || bon_nr) AS hash, eintrag_ts, kasse_nr, bon_nr, bon_typ, bon_beginn,
-        bon_abschluss, CAST(bon_abschluss AS DATE) AS bon_datum, kdnr, bon_summe, tse_info, storno_ref
-       FROM m JOIN t USING (kasse_nr, bon_nr, rang) JOIN h USING (kasse_nr, bon_nr))"""
+# A receipt is any of its lines, one of another type than RN if it has one.
+_RECEIPT = ", ".join(RECEIPT_COLUMNS)
+RECEIPTS = f"""
+ b AS (SELECT {_RECEIPT}
+       FROM (SELECT * EXCLUDE (hash), hash_bon AS hash, CAST(bon_abschluss AS DATE) AS bon_datum FROM j)
+       QUALIFY row_number() OVER (PARTITION BY hash ORDER BY bon_typ = 'RN', pos) = 1)"""
 
 POSITION_ROWS = """
  g AS (SELECT *,
@@ -258,7 +258,7 @@ POSITION_ROWS = """
         WHEN warengruppe ILIKE '%fehlt%' THEN '0:0'
         ELSE trim(split_part(warengruppe, '|', 1)) END AS wgr,
    CASE WHEN contains(warengruppe, '|') THEN trim(split_part(warengruppe, '|', 2)) END AS wgr_bez,
-   CAST(trim(split_part(ma, '|', 1)) AS INTEGER) AS ma_id
+   trim(split_part(ma, '|', 1)) AS ma_id
   FROM j),
  p AS (SELECT *, coalesce(
    last_value(CASE WHEN art_nr <> '-' THEN hash END IGNORE NULLS) OVER (ORDER BY kasse_nr, bon_nr, pos
@@ -276,15 +276,14 @@ def _reloaded(table: str, day: str) -> str:
     return f"CASE WHEN {early} THEN TIMESTAMP '{frames.JOURNAL_TS}' ELSE TIMESTAMP '{frames.RELOAD_TS}' END AS eintrag_ts"
 
 
-def _order_aid(groups: tuple[str, ...]) -> str:
+def _order_aid(suppliers: str) -> str:
     days = ", ".join(
         f"""CAST(CAST(coalesce(sum(menge) FILTER (WHERE isodow(bon_datum) = {i}), 0) AS DOUBLE)
             / {catalog.ORDER_WEEKS} AS DECIMAL(18,3)) AS {name}"""
         for i, name in enumerate(("mo", "di", "mi", "do", "fr", "sa", "so"), start=1)
     )
-    wanted = ", ".join(f"'{g}'" for g in groups)
     return journal(
-        f"""SELECT art_nr, {days} FROM g JOIN b ON g.hash_bon = b.hash WHERE wgr IN ({wanted})
+        f"""SELECT art_nr, {days} FROM g JOIN b ON g.hash_bon = b.hash WHERE wgr IN (SELECT s_suppkey || ':0' FROM supplier WHERE {suppliers})
         AND bon_datum >= DATE '{catalog.ORDER_UNTIL}' - INTERVAL {catalog.ORDER_WEEKS * 7} DAY
         AND bon_datum < DATE '{catalog.ORDER_UNTIL}' GROUP BY art_nr""",
         RECEIPTS,
@@ -307,11 +306,13 @@ def oracles() -> dict[str, str]:
         found[f"sat_bulk_{load}"] = sat(load)
 
     articles = frames.pair_of("articles")
-    found["sat_idempotent"] = sat("articles", snapshot_list("articles")[0])
+    found["sat_idempotent"] = sat("articles", stage("articles", frames.DATES[0]))
     found["sat_close_all_versions"] = sat_all_closed("articles")
     found["sat_two_sources"] = sat(
         "articles", f"({stage('articles', frames.DATES[0])}) UNION ALL ({stage('press_articles', frames.DATES[1])})"
     )
+    same_day = f"({stage('articles', frames.DATES[0])}) UNION ALL ({stage('press_articles', frames.DATES[0])})"
+    found["hub_two_sources"] = hub("articles", "max", same_day)
     found["current_view"] = current("customers")
     found["asof_view"] = f"""SELECT h.hash, h.art_nr, s.gueltig_adtm, s.gueltig_edtm,
         {', '.join('s.' + a for a in articles.attributes)}
@@ -324,25 +325,26 @@ def oracles() -> dict[str, str]:
     )
     day = "CAST(bon_abschluss AS DATE)"
     found["journal_anti_load"] = journal(
-        f"SELECT hash, {_reloaded('j', day)}, kasse_nr, bon_nr, pos FROM j"
+        f"SELECT {', '.join(JOURNAL)} FROM (SELECT * REPLACE ({_reloaded('j', day)}) FROM j)"
     )
     found["receipt_type"] = journal(
-        "SELECT kasse_nr, bon_nr, bon_typ, CAST(rang AS INTEGER) AS rang FROM t JOIN m USING (kasse_nr, bon_nr, rang)",
-        RECEIPTS,
+        """SELECT DISTINCT kasse_nr, bon_nr, bon_typ, if(bon_typ = 'RN', -1, 1) AS rang FROM j
+        QUALIFY bon_typ <> 'RN' OR bool_and(bon_typ = 'RN') OVER (PARTITION BY hash_bon)"""
+    )
+    found["receipt_headers"] = journal(
+        """SELECT eintrag_ts, kasse_nr, bon_nr, bon_beginn, bon_abschluss, bon_summe, kdnr, tse_info, storno_ref
+        FROM j GROUP BY ALL"""
     )
-    found["receipt_headers"] = journal("SELECT * FROM h", RECEIPTS)
-    found["receipts"] = journal("SELECT * FROM b", RECEIPTS)
+    found["receipts"] = journal(f"SELECT {_RECEIPT} FROM b", RECEIPTS)
     found["receipts_load"] = journal(
-        f"SELECT hash, {_reloaded('b', 'bon_datum')}, kasse_nr, bon_nr, bon_typ, bon_datum FROM b", RECEIPTS
+        f"SELECT {_RECEIPT} FROM (SELECT * REPLACE ({_reloaded('b', 'bon_datum')}) FROM b)", RECEIPTS
     )
     found["positions"] = journal(f"SELECT {', '.join(POSITIONS)} FROM p", POSITION_ROWS)
     found["positions_groups"] = journal(
         "SELECT hash, hash_bon, wgr, wgr_bez, ma_id, preis_gesamt FROM g", POSITION_ROWS
     )
     found["positions_load"] = journal(
-        f"SELECT {', '.join(POSITIONS)} FROM p WHERE {day} >= DATE '{catalog.SPLIT_DAY}'",
-        POSITION_ROWS,
-        ts=frames.RELOAD_TS,
+        f"SELECT {', '.join(POSITIONS)} FROM (SELECT * REPLACE ({_reloaded('p', day)}) FROM p)", POSITION_ROWS
     )
     found["leading_position"] = journal(
         "SELECT hash, kasse_nr, bon_nr, pos, art_nr, hash_fuehrend FROM p", POSITION_ROWS
@@ -353,7 +355,9 @@ def oracles() -> dict[str, str]:
     found["key_violations"] = """SELECT l_orderkey, l_linenumber, count(*) AS zeilen FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
     found["months"] = journal("SELECT DISTINCT strftime(bon_datum, '%Y-%m') AS monat FROM b ORDER BY 1", RECEIPTS)
-    found["last_change"] = journal("SELECT max(eintrag_ts) AS zeitpunkt FROM b", RECEIPTS)
+    found["last_change"] = journal(
+        f"SELECT max(eintrag_ts) AS zeitpunkt FROM (SELECT {_reloaded('b', 'bon_datum')} FROM b)", RECEIPTS
+    )
     found["last_file_plain"] = f"SELECT max(zuletzt_gesehen) AS zeitpunkt FROM ({hub('customers', 'max')})"
     both = f"({snapshot_list('articles')[0]}) UNION ALL ({snapshot_list('press_articles')[2]})"
     found["last_file_by_source"] = f"""SELECT max(zuletzt_gesehen) AS zeitpunkt FROM ({hub('articles', 'max', both)})

@@ -84,7 +84,7 @@ PAIRS = {
                 "bontext": "string",
                 "mengeneinheit": "string",
                 "mengentyp": "string",
-                "gpfaktor": "decimal(6,3)",
+                "gpfaktor": "decimal(18,3)",
                 "wgr": "string",
                 "rabatt_kz": "string",
                 "preisgebunden_kz": "string",
@@ -183,7 +183,7 @@ POSITIONS = {
     "preis_gesamt": "decimal(18,2)",
     "wgr": "string",
     "wgr_bez": "string",
-    "ma_id": "int",
+    "ma_id": "string",
 }
 
 CALENDAR = {
@@ -218,7 +218,7 @@ EXPORTS = {
                 "Bontext": ("bontext", "text"),
                 "Mengeneinheit": ("mengeneinheit", "text"),
                 "Mengentyp": ("mengentyp", "text"),
-                "GPFaktor": ("gpfaktor", "decimal(6,3)"),
+                "GPFaktor": ("gpfaktor", "decimal(18,3)"),
                 "WGR": ("wgr", "text"),
                 "UWGR": ("uwgr", "text"),
                 "RabattKZ": ("rabatt_kz", "text"),
