@@ -21,7 +21,7 @@ def test_paths():
     with pytest.raises(ValueError, match="nonsense"):
         filedrop.place_of("file:/x/nonsense/31.01.2024/a.csv")
     paths = ["/d/customers/01.02.2024/b.csv", "/d/journal/31.01.2024/a.csv", "/d/customers/31.01.2024/c.csv"]
-    assert [(d.month, e) for d, e, _ in filedrop.batches(paths)] == [(1, "customers"), (1, "journal"), (2, "customers")]
+    assert [(d.month, e) for d, e, _ in filedrop.in_order(paths)] == [(1, "customers"), (1, "journal"), (2, "customers")]
 
 
 def test_files_are_loaded_in_order_of_their_dates(spark, drop, tmp_path):
@@ -58,7 +58,36 @@ def test_repeated_batch_is_not_loaded_twice(spark, drop, tmp_path):
     files = spark.createDataFrame([(p,) for p in paths], "path string").selectExpr(
         "path", "TIMESTAMP'2024-03-01 12:00:00' AS modificationTime"
     )
-    filedrop.import_batch(store, files, 0, "s")
+    assert filedrop.import_pending(store, files) == 2
     version, before = store.manifest()[0], store.read("sat_kunden_t").count()
-    filedrop.import_batch(store, files, 0, "s")
+    assert filedrop.import_pending(store, files) == 0
     assert (store.manifest()[0], store.read("sat_kunden_t").count()) == (version, before)
+
+
+@pytest.mark.parametrize("max_files", [1, 2, 1000])
+def test_tables_do_not_depend_on_micro_batches(spark, drop, tmp_path, max_files):
+    """February is dropped first; two files of one date share a key."""
+    store = Store(spark, str(tmp_path / "store"))
+    for day, name, rate in (("29.02.2024", "a", "3"), ("31.01.2024", "b", "2"), ("31.01.2024", "c", "4")):
+        put(drop, "customers", day, name, [row("customers", rabatt_satz=rate)])
+    query = filedrop.start_filedrop(spark, store, str(tmp_path / "drop"), str(tmp_path / "cp"), max_files)
+    query.awaitTermination()
+    sat = store.read("sat_kunden_t").orderBy("gueltig_adtm", "gueltig_edtm").collect()
+    assert [(str(r.rabatt_satz), r.gueltig_adtm, r.gueltig_edtm, r.gueltig) for r in sat] == [
+        ("2.00", date(2024, 1, 31), date(2024, 1, 31), False),
+        ("4.00", date(2024, 1, 31), date(2024, 2, 29), False),
+        ("3.00", date(2024, 2, 29), date(2099, 12, 31), True),
+    ]
+
+
+def test_late_files_are_refused(spark, drop, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    frame = lambda *p: spark.createDataFrame([(x,) for x in p], "path string").selectExpr(
+        "path", "TIMESTAMP'2024-03-01 12:00:00' AS modificationTime"
+    )
+    new = put(drop, "customers", "29.02.2024", "a", [row("customers")])
+    filedrop.import_pending(store, frame(new))
+    old = put(drop, "customers", "31.01.2024", "a", [row("customers")])
+    with pytest.raises(filedrop.LateFile, match="31.01.2024"):
+        filedrop.import_pending(store, frame(new, old))
+    assert filedrop.import_pending(store, frame(new, old), on_late="skip") == 0

@@ -73,6 +73,17 @@ def test_numbers_and_leading_positions(spark, monkeypatch, seed, followers, bloc
     }
 
 
+def test_sparse_receipt_numbers(spark, monkeypatch):
+    """Receipt numbers all over 63 bits, in a deep tree."""
+    monkeypatch.setattr(ordering, "BUCKET_BITS", 4)
+    monkeypatch.setattr(ordering, "FAN", 12)
+    rnd = random.Random(5)
+    numbers = [rnd.randrange(1 << rnd.choice([8, 30, 50, 63])) for _ in range(60)]
+    lines = [("a", rnd.choice([1, 2, 3]), rnd.choice(numbers), rnd.choice("-----x")) for _ in range(300)]
+    got = till.number_with_leading(frame(spark, lines, 50), ["_zeile"], till.leads(F.col("art_nr"))).collect()
+    assert {(r._datei, r.kasse_nr, r.bon_nr, r.pos): (r.art_nr, r.hash_fuehrend) for r in got} == brute_force(lines)
+
+
 def test_numbers_per_till(spark):
     lines = make_lines(9, 300)
     got = till.number_positions(frame(spark, lines, 11), ["_zeile"], per_till=True).collect()
@@ -134,6 +145,12 @@ def test_receipt_conflicts(spark, rows):
     df = journal_frame(spark, [*rows, (1, 5, "BV", 1)])
     with pytest.raises(Exception, match="kasse_nr=1, bon_nr=4"):
         till.receipts(df).collect()
+    # Whatever columns are read.
+    for columns in (["bon_datum"], ["kasse_nr"]):
+        with pytest.raises(Exception, match="bon_nr=4"):
+            till.receipts(df).select(*columns).collect()
+    with pytest.raises(Exception, match="bon_nr=4"):
+        till.calendar_days(till.receipts(df)).collect()
     flagged = {r.bon_nr: r.widerspruch for r in till.receipts(df, on_conflict="flag").collect()}
     assert flagged == {4: True, 5: False}
 

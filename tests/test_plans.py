@@ -28,7 +28,7 @@ def test_no_all_pairs_and_no_python(spark, name):
 def test_scans_are_pruned_and_filtered(spark):
     plan = plan_of(spark, QUERIES["key_violations"](spark, SF_DIR))
     assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int>" in plan
-    plan = plan_of(spark, QUERIES["sat_idempotent"](spark, SF_DIR))
+    plan = plan_of(spark, QUERIES["hub_bulk_articles"](spark, SF_DIR))
     assert re.search(r"PushedFilters: \[.*p_type,LARGE", plan)
 
 
@@ -59,3 +59,21 @@ def test_rows_are_shuffled_once_for_numbers_and_leading_positions(spark):
 def test_month_writes_are_rebalanced(spark):
     df = spark.range(10).selectExpr("id", "DATE'2024-01-01' AS d")
     assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(spark, by_month(df, "d"))
+
+
+@pytest.mark.parametrize("name", ["receipts", "months", "calendar", "order_aid_bakery", "visits_by_hour"])
+def test_receipts_are_summed_by_hash(spark, name):
+    """Lines are counted by hash before anything is sorted: the lowest aggregation is no sort aggregation."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString().split("\n")
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line)
+    lowest = [line for line in plan[:scan] if "Aggregate" in line][-1]
+    assert "HashAggregate" in lowest and "raise_error" in "".join(plan)
+
+
+def test_order_aid_reads_its_period(spark):
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(o_orderdate", plan_of(spark, QUERIES["order_aid_meat"](spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("name", ["asof_sale", "month_totals", "order_aid_bakery"])
+def test_receipts_are_joined_by_number(spark, name):
+    assert "hashpartitioning(hash_bon" not in plan_of(spark, QUERIES[name](spark, SF_DIR))

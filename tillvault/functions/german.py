@@ -19,8 +19,10 @@ def repair_cp1252(text: Column) -> Column:
 
 
 def decimal_comma(text: Column, kind: str) -> Column:
-    """``1,50`` -> decimal. A thousands point is an error, as the cast raises."""
-    return F.replace(F.trim(text), F.lit(","), F.lit(".")).cast(kind)
+    """``1,50`` -> decimal. A thousands point is an error, as the cast raises; so are digits that do not fit."""
+    wide = F.replace(F.trim(text), F.lit(","), F.lit(".")).cast("decimal(38,12)")
+    lost = F.raise_error(F.concat(F.lit(f"does not fit {kind}: "), text)).cast(kind)
+    return F.when(wide != wide.cast(kind).cast("decimal(38,12)"), lost).otherwise(wide.cast(kind))
 
 
 def timestamp(text: Column) -> Column:

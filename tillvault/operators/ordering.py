@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 BLOCK = "_block"
 HOT_ROWS = 1 << 20
 BUCKET_BITS = 20
+FAN = 22  # bits by which buckets are taken together
 
 
 def block_hot_groups(
@@ -65,6 +66,38 @@ def _leader(of: str, *names: str) -> Column:
     return F.struct(*(F.col(f"{of}.{n}").alias(n) for n in names))
 
 
+def _before_each(buckets: DataFrame, scope: Sequence[str], till: str, bits: int) -> DataFrame:
+    """The last ``_ende`` before each bucket of its scope, and the scope's first ``_anfang``.
+
+    Buckets are taken together by their upper bits, again and again, until a till is
+    one row. So a task sees at most 2^FAN buckets of one till, however far receipt
+    numbers lie apart, and in the end one row per till of a file.
+    """
+    earlier = (Window.unboundedPreceding, -1)
+    if bits <= 0:
+        order = Window.partitionBy(*scope).orderBy(till)
+        return buckets.select(
+            *scope,
+            till,
+            F.last("_ende", ignorenulls=True).over(order.rowsBetween(*earlier)).alias("_eimer_ende"),
+            F.first("_anfang").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_anfang"),
+        )
+    top = bits <= FAN
+    group = [*scope, till] if top else [*scope, till, "_gruppe"]
+    rows = buckets if top else buckets.withColumn("_gruppe", F.shiftright("_eimer", FAN))
+    sums = rows.groupBy(*group).agg(F.max("_ende").alias("_ende"), F.min("_anfang").alias("_anfang"))
+    if top:
+        above = _before_each(sums, scope, till, 0)
+    else:
+        above = _before_each(sums.withColumnRenamed("_gruppe", "_eimer"), scope, till, bits - FAN)
+        above = above.withColumnRenamed("_eimer", "_gruppe")
+    inside = Window.partitionBy(*group).orderBy("_eimer").rowsBetween(*earlier)
+    own = rows.select(*group, "_eimer", F.last("_ende", ignorenulls=True).over(inside).alias("_innen"))
+    return own.join(above, group, "left").select(
+        *scope, till, "_eimer", F.coalesce("_innen", "_eimer_ende").alias("_eimer_ende"), "_anfang"
+    )
+
+
 def number_and_carry(
     df: DataFrame,
     scope: Sequence[str],
@@ -79,9 +112,9 @@ def number_and_carry(
     place) of the last leading row so far.
 
     The order of the carry is (till, receipt, place) within ``scope``; a row before
-    any leading one gets the first row of its scope. Three steps, each over far
-    fewer rows: inside the block, over blocks inside a bucket of receipts, over
-    buckets. The rows themselves are shuffled once, on (scope, receipt, block).
+    any leading one gets the first row of its scope. Each step is over far fewer
+    rows: inside the block, over blocks inside a bucket of receipts, over buckets in
+    a tree. The rows themselves are shuffled once, on (scope, receipt, block).
     """
     part = [*scope, receipt, BLOCK]
 
@@ -114,20 +147,8 @@ def number_and_carry(
     last_end = F.last(end, ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1))
 
     # Over the buckets of a file: one row per till and 2^20 receipt numbers.
-    in_scope = Window.partitionBy(*scope).orderBy(till, "_eimer")
-    buckets = (
-        blocks.groupBy(*scope, till, "_eimer")
-        .agg(F.max(end).alias("_ende"), F.min(start).alias("_anfang"))
-        .select(
-            *scope,
-            till,
-            "_eimer",
-            F.last("_ende", ignorenulls=True)
-            .over(in_scope.rowsBetween(Window.unboundedPreceding, -1))
-            .alias("_eimer_ende"),
-            F.first("_anfang").over(in_scope.rowsBetween(Window.unboundedPreceding, 0)).alias("_anfang"),
-        )
-    )
+    buckets = blocks.groupBy(*scope, till, "_eimer").agg(F.max(end).alias("_ende"), F.min(start).alias("_anfang"))
+    buckets = _before_each(buckets, scope, till, 64 - BUCKET_BITS)
 
     # Rows need a look at their block only if it has a predecessor in its receipt,
     # or begins with a row that follows a leading one further back.

@@ -156,7 +156,7 @@ def _press_articles(df: DataFrame, step: Column) -> DataFrame:
     return df.select(
         _text("p_partkey").alias("art_nr"),
         F.col("p_name").alias("art_bez"),
-        _price(step, "decimal(18,3)").alias("ek_netto"),
+        _price(step, "decimal(18,5)").alias("ek_netto"),
         _price(step).alias("vk_brutto"),
         F.when(code == 0, "9").when(code == 1, "4").when(code == 2, "0").otherwise("7").alias("mwst_kz"),
         F.lit("N").alias("fsk_kz"),
@@ -175,7 +175,7 @@ def _supplier_articles(df: DataFrame, step: Column) -> DataFrame:
         F.concat_ws("-", _text("l_partkey"), _text("l_suppkey")).alias("lief_art_nr"),
         _text("l_partkey").alias("ean"),
         _text("l_suppkey").alias("lief_nr"),
-        (F.col("preis").cast("decimal(18,3)") + step).cast("decimal(18,3)").alias("ek_netto"),
+        (F.col("preis").cast("decimal(18,5)") + step).cast("decimal(18,5)").alias("ek_netto"),
     )
 
 

@@ -94,7 +94,7 @@ ROWS = {
         "ean": "l_partkey",
         "lief_nr": "l_suppkey",
         "lief_art_nr": "l_partkey || '-' || l_suppkey",
-        "ek_netto": "CAST(preis AS DECIMAL(18,3)) + {step}",
+        "ek_netto": "CAST(preis AS DECIMAL(18,5)) + {step}",
     },
     "press_articles": {
         "art_nr": "p_partkey",
@@ -119,7 +119,7 @@ ROWS = {
         "ean": "p_partkey",
         "lief_nr": "'34'",
         "lief_art_nr": "p_partkey",
-        "ek_netto": "CAST(p_retailprice AS DECIMAL(18,3)) + {step}",
+        "ek_netto": "CAST(p_retailprice AS DECIMAL(18,5)) + {step}",
     },
 }
 

@@ -118,7 +118,7 @@ PAIRS = {
         Pair(
             "scs_liefart",
             {"ean": "string", "lief_nr": "string"},
-            {"lief_art_nr": "string", "ek_netto": "decimal(18,3)"},
+            {"lief_art_nr": "string", "ek_netto": "decimal(18,5)"},
         ),
     )
 }
@@ -316,7 +316,7 @@ EXPORTS = {
             {
                 "PrStrichcode": ("art_nr", "text"),
                 "Titel": ("art_bez", "text"),
-                "EKPreis": ("ek_netto", "decimal(18,3)"),
+                "EKPreis": ("ek_netto", "decimal(18,5)"),
                 "VKPreis": ("vk_brutto", "decimal(18,2)"),
                 "MwStID": ("mwst_kz", "text"),
                 "IsFSK": ("fsk_kz", "text"),
@@ -345,7 +345,7 @@ EXPORTS = {
                 "LiefArtNr": ("lief_art_nr", "text"),
                 "EAN": ("ean", "text"),
                 "LiefNr": ("lief_nr", "text"),
-                "EKPreis": ("ek_netto", "decimal(18,3)"),
+                "EKPreis": ("ek_netto", "decimal(18,5)"),
             },
             (Target("scs_liefart", ("lief_art_nr", "ek_netto")),),
         ),

@@ -1,8 +1,8 @@
 """File-drop ingestion: files put under ``<root>/<export>/<date>/`` are imported.
 
 The stream only discovers files; it carries no rows and keeps no state. Each
-micro-batch runs the batch import on the files it found, export dates in order,
-because the satellites depend on the order of exports.
+micro-batch runs the batch import on the files that are not loaded yet, export
+dates in order, because the satellites depend on the order of exports.
 """
 
 from __future__ import annotations
@@ -29,29 +29,50 @@ def place_of(path: str) -> tuple[str, date]:
     return export, parse_export_date(day)
 
 
-def batches(paths: list[str]) -> list[tuple[date, str, list[str]]]:
-    """Files grouped by export and date, in the order they have to be loaded."""
-    groups: dict[tuple[date, str], list[str]] = {}
-    for path in sorted(paths):
-        export, day = place_of(path)
-        groups.setdefault((day, export), []).append(path)
-    return [(day, export, files) for (day, export), files in sorted(groups.items())]
-
-
-def import_batch(store: Store, files: DataFrame, batch_id: int, stream: str) -> None:
-    """Imports the files of one micro-batch. ``stream`` names the stream whose batches count."""
-    # File names of one trigger: bounded by maxFilesPerTrigger.
-    paths = [row.path for row in files.select("path").collect()]
-    for day, export, found in batches(paths):
-        mark = f"filedrop:{stream}:{export}"
-        # A batch that failed half-way is run again: skip what it had published.
-        done = store.manifest()[1]["marks"].get(mark)
-        if done and done[0] == batch_id and done[1] >= day.isoformat():
+def in_order(paths: list[str]) -> list[tuple[date, str, str]]:
+    """(export date, export, path) of the files, in the order they have to be loaded."""
+    return sorted((day, export, path) for path in paths for export, day in [place_of(path)])
+
+
+class LateFile(ValueError):
+    """A file is older than one of its export that is loaded already."""
+
+
+def pending(store: Store, files: DataFrame, on_late: str = "raise") -> list[tuple[date, str, list[str]]]:
+    """The files not loaded yet, as groups that are loaded one after the other.
+
+    A mark holds the newest loaded date of each export and the paths of its loaded files.
+    Files of an older date cannot be loaded any more, as the history depends on the
+    order of dates: they are refused (``on_late='raise'``) or passed over (``'skip'``).
+    Master files are loaded singly, in the order of their paths; the journal files of
+    one date together, which gives the same rows as one by one.
+    """
+    marks = store.manifest()[1]["marks"]
+    groups: dict[tuple[date, str, str], list[str]] = {}
+    for day, export, path in in_order([row.path for row in files.select("path").collect()]):
+        newest, *done = marks.get(f"filedrop:{export}", [""])
+        if path in done:
+            continue
+        if day.isoformat() < newest:
+            if on_late == "raise":
+                raise LateFile(f"{path}: {export} is loaded up to {newest} already")
             continue
-        # The newest file's time stands for the load, so a repeated batch gives the same rows.
-        newest = files.agg(F.date_format(F.max("modificationTime"), "yyyy-MM-dd HH:mm:ss")).first()[0]
-        load_ts = datetime.fromisoformat(newest)
-        run_import(store.spark, store, export, found, day, load_ts, marks={mark: [batch_id, day.isoformat()]})
+        groups.setdefault((day, export, "" if export == "journal" else path), []).append(path)
+    return [(day, export, found) for (day, export, _), found in groups.items()]
+
+
+def import_pending(store: Store, files: DataFrame, on_late: str = "raise") -> int:
+    """Imports what is not loaded yet of ``files`` (path, modificationTime); gives the number of loads."""
+    groups = pending(store, files, on_late)
+    for day, export, found in groups:
+        marks = store.manifest()[1]["marks"]
+        newest, *done = marks.get(f"filedrop:{export}", [""])
+        # The newest file's time stands for the load, so a repeated load gives the same rows.
+        own = files.filter(F.col("path").isin(found))
+        time = own.agg(F.date_format(F.max("modificationTime"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        mark = {f"filedrop:{export}": [max(newest, day.isoformat()), *done, *found]}
+        run_import(store.spark, store, export, found, day, datetime.fromisoformat(time), marks=mark)
+    return len(groups)
 
 
 def start_filedrop(
@@ -61,19 +82,23 @@ def start_filedrop(
     checkpoint: str,
     max_files: int = 1000,
     available_now: bool = True,
+    on_late: str = "raise",
 ) -> StreamingQuery:
-    """Starts the ingestion; with ``available_now`` it ends once all present files are loaded."""
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(_FILES)
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", max_files)
-        .load(root)
-        .select("path", "modificationTime")  # the content is never read here
-    )
-    writer = files.writeStream.foreachBatch(lambda df, batch_id: import_batch(store, df, batch_id, checkpoint)).option(
-        "checkpointLocation", checkpoint
-    )
+    """Starts the ingestion; with ``available_now`` it ends once all present files are loaded.
+
+    The stream says that there is something new; each micro-batch then takes all
+    files that are not loaded, by date. So neither ``max_files``, the most a
+    micro-batch is told of, nor the order of arrival changes the tables.
+    """
+
+    def listing(reader) -> DataFrame:
+        found = reader.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.csv")
+        # The content is never read here.
+        return found.option("recursiveFileLookup", True).load(root).select("path", "modificationTime")
+
+    files = listing(spark.readStream.option("maxFilesPerTrigger", max_files))
+    writer = files.writeStream.foreachBatch(
+        lambda df, batch_id: import_pending(store, listing(spark.read), on_late)
+    ).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
