@@ -1,3 +1,4 @@
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
@@ -91,3 +92,25 @@ def test_late_files_are_refused(spark, drop, tmp_path):
     with pytest.raises(filedrop.LateFile, match="31.01.2024"):
         filedrop.import_pending(store, frame(new, old))
     assert filedrop.import_pending(store, frame(new, old), on_late="skip") == 0
+
+
+def test_vacuum_keeps_what_manifests_name(spark, drop, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for n, day in enumerate(("31.01.2024", "29.02.2024", "31.03.2024")):
+        path = put(drop, "customers", day, "a", [row("customers", rabatt_satz=str(n)), row("customers", kdnr="7")])
+        files = spark.createDataFrame([(path,)], "path string").selectExpr("path", "TIMESTAMP'2024-04-01' AS modificationTime")
+        filedrop.import_pending(store, files)
+    rows = lambda v=None: sorted(map(str, store.read("sat_kunden_t", version=v).collect()))
+    newest, older = rows(), rows(2)
+    assert store.vacuum(keep=2) and (rows(), rows(2)) == (newest, older)
+    assert store.vacuum(keep=2) == []
+    store.vacuum()
+    assert rows() == newest and store._versions() == [3] and not store.exists(f"{store.root}/_stage/kunden")
+
+
+def test_one_of_two_loads_is_published(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    loads = [store.begin(), store.begin()]
+    with ThreadPoolExecutor(2) as pool:
+        outcomes = [f.exception() for f in [pool.submit(load.commit) for load in loads]]
+    assert sorted(type(o).__name__ for o in outcomes) == ["ConcurrentLoad", "NoneType"]

@@ -210,3 +210,17 @@ def test_concurrent_loads_do_not_overwrite_each_other(spark, tmp_path):
     first.commit()
     with pytest.raises(ConcurrentLoad):
         second.commit()
+
+
+def test_no_digit_is_lost(spark, drop, tmp_path):
+    """A price of four decimals is a change; a factor of 1000 loads; what does not fit stops the load."""
+    store = Store(spark, str(tmp_path / "store"))
+    for n, price in enumerate(("1,2341", "1,2344")):
+        path = drop(f"{n}.csv", header("supplier_articles"), [row("supplier_articles", ek_netto=price)])
+        jobs.run_import(spark, store, "supplier_articles", path, date(2024, 1 + n, 1), datetime(2024, 1 + n, 1))
+    assert store.read(PAIRS["scs_liefart"].sat).count() == 2
+    path = drop("a.csv", header("articles"), [row("articles", gpfaktor="1000,0")])
+    jobs.run_import(spark, store, "articles", path, date(2024, 1, 1), datetime(2024, 1, 1))
+    path = drop("b.csv", header("articles"), [row("articles", vk_brutto="1,999")])
+    with pytest.raises(Exception, match="does not fit"):
+        jobs.run_import(spark, store, "articles", path, date(2024, 2, 1), datetime(2024, 2, 1))

@@ -3,13 +3,15 @@
 Every load writes new folders (``<table>/load=<id>``) and then one small manifest
 file that names the folders each table consists of. Readers follow the newest
 manifest, so a load is seen whole or not at all, and a failed one leaves only
-folders nobody refers to. Tables are plain Parquet; the root has to be a file
-system all executors share.
+folders nobody refers to, until ``vacuum``. Tables are plain Parquet; the root has
+to be on a file system that all executors share and that can refuse a name that
+exists (``EXCLUSIVE``): stores that copy on rename would let two loads publish.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -35,6 +37,10 @@ PARTITIONS: dict[str, dict[str, str]] = {
 }
 
 
+# File systems that can refuse a name that exists: by rename, locally by a link.
+EXCLUSIVE = ("file", "hdfs", "viewfs")
+
+
 class ConcurrentLoad(RuntimeError):
     """Another load was published since this one began."""
 
@@ -46,6 +52,8 @@ class Store:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        if self._fs.getUri().getScheme() not in EXCLUSIVE:
+            raise ValueError(f"{root}: loads can only be published on {', '.join(EXCLUSIVE)}")
 
     # files ------------------------------------------------------------------------
 
@@ -62,16 +70,46 @@ class Store:
         names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
         return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json") and not n.startswith("."))
 
-    def manifest(self) -> tuple[int, dict]:
+    def manifest(self, version: int | None = None) -> tuple[int, dict]:
+        """The newest manifest, or one that ``vacuum`` has kept."""
         versions = self._versions()
         if not versions:
             return 0, {"tables": {}, "marks": {}}
-        stream = self._fs.open(self._path(self._manifest_file(versions[-1])))
+        chosen = versions[-1] if version is None else version
+        stream = self._fs.open(self._path(self._manifest_file(chosen)))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return versions[-1], json.loads(text)
+        return chosen, json.loads(text)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes staging, manifests but the newest ``keep``, and folders those do not name.
+
+        Not to be run while a load is: what it has written is not named yet. Gives
+        the removed folders.
+        """
+        versions = self._versions()
+        named = {
+            f"{table}/{folder}"
+            for version in versions[-max(1, keep) :]
+            for table, folders in self.manifest(version)[1]["tables"].items()
+            for folder in folders
+        }
+        in_use = named | {n.rpartition("/")[0] for n in named if "/gueltig=" in n}
+        found = [f"{t}/{name}" for t in TABLES for name in self._names(t)]
+        parts = [f"{f}/{name}" for f in found if f in in_use - named for name in self._names(f) if name.startswith("gueltig=")]
+        removed = [f for f in found if f not in in_use] + [f for f in parts if f not in named]
+        removed += [f"_stage/{name}" for name in self._names("_stage")]
+        for folder in removed:
+            self._fs.delete(self._path(f"{self.root}/{folder}"), True)
+        for version in versions[: -max(1, keep)]:
+            self._fs.delete(self._path(self._manifest_file(version)), False)
+        return removed
+
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     def _publish(self, version: int, content: dict) -> None:
         target = self._path(self._manifest_file(version))
@@ -81,18 +119,33 @@ class Store:
             out.write(bytearray(json.dumps(content, indent=1).encode()))
         finally:
             out.close()
-        if self._fs.exists(target) or not self._fs.rename(part, target):
+        if not self._moved(part, target):
+            self._fs.delete(part, False)
             raise ConcurrentLoad(f"manifest {version} exists already")
 
+    def _moved(self, part, target) -> bool:
+        """Gives the file its name unless another has it."""
+        if self._fs.getUri().getScheme() != "file":
+            return not self._fs.exists(target) and self._fs.rename(part, target)
+        # Local renames replace a target; a link does not.
+        try:
+            os.link(part.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            return False
+        self._fs.delete(part, False)
+        return True
+
     # tables -----------------------------------------------------------------------
 
-    def read(self, table: str, months: tuple[str, str] | None = None, open_only: bool = False) -> DataFrame:
-        """A table as of the newest manifest.
+    def read(
+        self, table: str, months: tuple[str, str] | None = None, open_only: bool = False, version: int | None = None
+    ) -> DataFrame:
+        """A table as of the newest manifest, or an older one that is kept.
 
         ``months`` (first and last, as ``yyyy-MM``) restricts a till table to the
         folders of these months, ``open_only`` a satellite to its open versions.
         """
-        folders = self.manifest()[1]["tables"].get(table, [])
+        folders = self.manifest(version)[1]["tables"].get(table, [])
         if open_only:
             folders = [f for f in folders if f.endswith("gueltig=true")]
         return self._frame(table, folders, months)
