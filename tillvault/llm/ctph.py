@@ -6,7 +6,8 @@ its CRC-32. The block size is 3 * 2^k, the least that makes a text of its length
 about 64 pieces, and is halved while that gives under 32. A fingerprint is
 ``block:signs at the block size:signs at twice it``. Two fingerprints are compared
 where block sizes are equal or one is twice the other, by 1 - edits / length of the
-longer signature, and only if they share 7 signs in a row.
+longer signature, and only if they share 7 signs in a row (a third of the signs of
+shorter signatures).
 
 ``with_edits`` also fingerprints each document's text with its second half replaced
 by the beginning of the next document by doc_id. Documents are dealt by ranges of
@@ -101,11 +102,12 @@ def edited(text: str, following: str) -> str:
 
 
 def _alike(a: Column, b: Column) -> Column:
-    """1 - edits / longer length, or 0 where no 7 signs in a row (all, in shorter ones) are shared."""
+    """1 - edits / longer length, or 0 where no 7 signs in a row (a third of shorter ones) are shared."""
+    run = F.least(F.lit(COMMON), F.greatest(F.lit(1), F.floor(F.least(F.length(a), F.length(b)) / 3))).cast("int")
 
     def runs(s: Column) -> Column:
-        last = F.greatest(F.length(s) - COMMON + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(s, i, F.lit(COMMON)))
+        last = F.greatest(F.length(s) - run + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(s, i, run))
 
     longer = F.greatest(F.length(a), F.length(b))
     near = 1 - F.levenshtein(a, b) / longer
