@@ -203,8 +203,11 @@ LINES = [
 def loaded(spark, drop, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     path = drop("j1.csv", header("journal"), LINES, "utf8")
+    # Imports run as they do outside the tests: with compiled stages.
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
     counts = jobs.run_import(spark, store, "journal", path, date(2025, 1, 1), TS)
-    return store, counts, path
+    yield store, counts, path
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
 
 
 def test_journal_import(spark, loaded):

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tillvault.operators import guards, insert, reports, status, vault, views
 from tillvault.operators import journal as till
-from tillvault.plans import frames
+from tillvault.plans import frames, texts
 from tillvault.plans.session import tune
 from tillvault.schemas import EXPORTS
+from tillvault.sources.exports import typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,11 @@ def hub_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.bulk_hub(stacked(stages), frames.pair_of("articles"))
 
 
+def parse_export(export: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export's texts, as typed by its reader."""
+    return typed(texts.export_texts(spark, sf_dir, export), export)
+
+
 def _vault(spark: SparkSession, sf_dir: str, load: str, days=frames.DATES) -> tuple[DataFrame, DataFrame]:
     """Hub and satellite of a load, by the bulk form."""
     pair = frames.pair_of(load)
@@ -281,6 +287,8 @@ def catalog() -> dict[str, Query]:
         found[f"hub_bulk_{load}"] = partial(hub_bulk, load)
         found[f"sat_history_{load}"] = partial(sat_history, load)
         found[f"sat_bulk_{load}"] = partial(sat_bulk, load)
+    for export in texts.TEXTS:
+        found[f"parse_{export}"] = partial(parse_export, export)
     found |= {
         "sat_idempotent": sat_idempotent,
         "sat_close_all_versions": partial(sat_history, "articles", close_scope="all_versions"),

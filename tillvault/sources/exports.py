@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillvault.functions import german
@@ -67,6 +67,27 @@ def read_export(
         .option("encoding", "ISO-8859-1" if cp1252 else spec.encoding)
         .csv([paths] if isinstance(paths, str) else list(paths))
     )
+    columns = []
+    if file_order:
+        line = F.monotonically_increasing_id()
+        start = F.col("_metadata.file_block_start")
+        columns = [
+            F.col("_metadata.file_path").alias("_datei"),
+            F.struct(start.alias("start"), F.shiftright(line, BLOCK_LINES).alias("teil")).alias("_block"),
+            line.alias("_zeile"),
+        ]
+    return typed(raw, name, null_texts, columns)
+
+
+def typed(
+    raw: DataFrame, name: str, null_texts: Sequence[str] = NULL_TEXTS, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """Lines of texts under an export's headers -> typed columns under their table names.
+
+    The texts of a cp1252 export are as ISO-8859-1 reads them.
+    """
+    spec = EXPORTS[name]
+    cp1252 = spec.encoding == "cp1252"
     missing = [header for header in spec.columns if header not in raw.columns]
     if missing:
         raise ValueError(f"{name}: the file has no column {', '.join(missing)}")
@@ -78,13 +99,5 @@ def read_export(
             text = german.repair_cp1252(text)
         text = F.when(~text.isin(*null_texts), text)
         columns.append(german.parse(text, kind).alias(column))
-    if file_order:
-        line = F.monotonically_increasing_id()
-        start = F.col("_metadata.file_block_start")
-        columns += [
-            F.col("_metadata.file_path").alias("_datei"),
-            F.struct(start.alias("start"), F.shiftright(line, BLOCK_LINES).alias("teil")).alias("_block"),
-            line.alias("_zeile"),
-        ]
-    typed = raw.select(*columns)
-    return typed.dropDuplicates() if spec.distinct else typed
+    rows = raw.select(*columns, *extra)
+    return rows.dropDuplicates() if spec.distinct else rows
