@@ -25,18 +25,19 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): the least node that each node of an edge reaches.
 
-    Ends when a round changes nothing; each round's edges are a written table. A
-    node's edges are summed to their least before the join that brings it back.
+    Ends when all components are stars around their least node, which is looked up
+    in the edges alone; each round's edges are a written table. A node's edges are
+    summed to their least before the join that brings it back.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(ordered.distinct(), "edges")
     while True:
         now = written(_stars(_stars(now, False), True), "edges")
-        # Equal sums over all edges of two rounds: nothing has moved.
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == state:
+        # Edges lead to lesser nodes: stars have one edge per node, and none from a centre.
+        several = now.groupBy("a").agg(F.count("*").alias("edges")).filter("edges > 1").select("a")
+        chained = now.join(now.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        if several.unionByName(chained).isEmpty():
             break
-        state = after
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
