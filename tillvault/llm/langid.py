@@ -32,7 +32,7 @@ SAMPLE = 1000  # documents of each language that the centroids are fitted on
 CENTROIDS = 3
 ROUNDS = 8
 SEGMENT = 1 << 20
-SLACK = 0.5  # of the least cosine that the sample's documents of about that length have
+SLACK = 0.2  # of the least cosine that the sample's documents of about that length have
 LENGTHS = (8, 32, 128, 512)  # bounds of the length classes, in trigrams
 UNKNOWN = "und"
 
