@@ -224,3 +224,16 @@ def test_no_digit_is_lost(spark, drop, tmp_path):
     path = drop("b.csv", header("articles"), [row("articles", vk_brutto="1,999")])
     with pytest.raises(Exception, match="does not fit"):
         jobs.run_import(spark, store, "articles", path, date(2024, 2, 1), datetime(2024, 2, 1))
+
+
+def test_missing_part_of_a_key_is_refused(spark, drop, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    path = drop("a.csv", header("supplier_articles"), [row("supplier_articles", ean=""), row("supplier_articles")])
+    load = lambda **options: jobs.run_import(
+        spark, store, "supplier_articles", path, date(2024, 1, 1), datetime(2024, 1, 1), **options
+    )
+    with pytest.raises(KeyViolation, match="ean=None"):
+        load()
+    assert load(on_bad_keys="quarantine")["scs_liefart.quarantine"] == 1
+    with pytest.raises(ValueError, match="no quarantine"):
+        jobs.run_import(spark, store, "journal", path, date(2024, 1, 1), datetime(2024, 1, 1), on_bad_keys="quarantine")

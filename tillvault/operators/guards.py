@@ -25,10 +25,11 @@ def bad_keys(df: DataFrame, keys: Sequence[str] = ("hash",)) -> DataFrame:
 
 def check_keys(df: DataFrame, keys: Sequence[str] = ("hash",), what: str = "stage") -> DataFrame:
     """Runs the check now; raises with some of the offending keys, else gives ``df`` back."""
-    found = bad_keys(df, keys).limit(20).collect()
+    bad = bad_keys(df, keys)
+    found = bad.limit(20).collect()
     if found:
         shown = "; ".join(", ".join(f"{k}={row[k]}" for k in keys) + f" x{row['zeilen']}" for row in found)
-        raise KeyViolation(f"{what}: null or repeated keys: {shown}")
+        raise KeyViolation(f"{what}: {bad.count()} null or repeated keys: {shown}")
     return df
 
 
