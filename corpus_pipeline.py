@@ -11,7 +11,8 @@ exact       of equal texts the one with the largest doc_id stays; of rows that r
 near        of near duplicates (five-word shingles, similarity 0.75) the one with the
             smallest doc_id stays
 mix         a share of the tokens stays, drawn so that sources, languages and forms
-            come closer to their targets
+            come closer to their targets; each document goes on once at most, so where a
+            cell is due more copies the targets are not reached
 pack        the pieces of the packed sequences
 
 Null values in any column, empty texts and empty tables pass through every stage:

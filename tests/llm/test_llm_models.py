@@ -156,6 +156,19 @@ def test_raked_shares_hold(spark):
         assert r.kept == (drawn < r.probability) and list(r.row.asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_copies_reach_the_targets(spark):
+    rows = mixing.mixed(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).drop("row").collect()
+    mixed = sum(r.tokens * r.copies for r in rows)
+    for name in mixing.DIMENSIONS:
+        own, got = Counter(), Counter()
+        for r in rows:
+            own[r[name]] += r.tokens
+            got[r[name]] += r.tokens * r.copies / mixed
+        goal = mixing.shares(own, None, mixing.Targets().temperature[name])
+        assert all(abs(got[v] - share) < 0.01 for v, share in goal.items()), name
+    assert all(r.kept == (r.copies > 0) for r in rows)
+
+
 def test_many_cells_are_raked_alike(spark, edge):
     for targets in (mixing.Targets(), mixing.Targets(source={"a": 0.5, "b": 0.2}, lang={"en": 1.0, "(other)": 1.0})):
         few = {r.doc_id: r.probability for r in mixing.mixed(edge, targets).collect()}

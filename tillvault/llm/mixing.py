@@ -3,9 +3,14 @@
 Tokens are summed per cell (source, language, topic). A cell's weight starts at 1;
 each round scales the cells of every source, then of every language, then of every
 topic so that their weighted tokens have the target share, until all three hold.
-A document is kept with probability min(1, rate * weight of its cell), where rate is
-such that the given share of all tokens is expected to stay. Whether it is kept is
-a fixed function of its id and the seed.
+A document is due rate * weight of its cell times: that many whole ``copies``, and one
+more with the fraction as probability, so the tokens of all copies are expected to have
+the target shares. It is ``kept`` if it has a copy, with probability
+min(1, rate * weight); rate is such that the given share of all tokens is expected to
+be kept. Both are a fixed function of its id and the seed.
+
+The kept documents taken once each do not reach the targets: where a cell is due more
+than one copy, its share is short. ``copies`` is the mix.
 
 Up to ``CELLS`` cells are raked on the driver; beyond that by DataFrame joins,
 with a written table every round.
@@ -159,7 +164,7 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def probabilities(rows: DataFrame, targets: Targets, keep: float, most_cells: int = CELLS) -> DataFrame:
-    """(source, lang, topic, weight, probability) of each cell of (source, lang, topic, tokens) rows."""
+    """(source, lang, topic, weight, probability, due) of each cell of (source, lang, topic, tokens) rows."""
     spark = rows.sparkSession
     cells = written(cells_of(rows), "cells")
     if cells.count() > most_cells:
@@ -171,16 +176,18 @@ def probabilities(rows: DataFrame, targets: Targets, keep: float, most_cells: in
             middle = (low + high) / 2
             stays = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * middle))).first()[0]
             low, high = (middle, high) if stays < wanted else (low, middle)
-        probability = F.least(F.lit(1.0), F.col("weight") * high)
-        return raked.select(*DIMENSIONS, "weight", probability.alias("probability"))
+        due = F.col("weight") * high
+        return raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), due).alias("probability"), due.alias("due"))
     found = sorted((tuple(r[:3]), r.tokens) for r in cells.collect())
     keys, tokens = [k for k, _ in found], np.array([n for _, n in found], float)
     weights = rake(keys, tokens, targets) if keys else tokens
     rate = rate_for(tokens, weights, keep) if keys else 0.0
-    table = [(*k, float(w), float(min(1.0, rate * w))) for k, w in zip(keys, weights)]
+    table = [(*k, float(w), float(min(1.0, rate * w)), float(rate * w)) for k, w in zip(keys, weights)]
     # At most ``most_cells`` rows.
     return F.broadcast(
-        spark.createDataFrame(table, "source string, lang string, topic string, weight double, probability double")
+        spark.createDataFrame(
+            table, "source string, lang string, topic string, weight double, probability double, due double"
+        )
     )
 
 
@@ -196,7 +203,7 @@ def mixed(
     lang_col: str = "lang",
     topic: Column | None = None,
 ) -> DataFrame:
-    """``row`` (the whole row as a struct) with doc_id, source, lang, topic, tokens, weight, probability, kept."""
+    """``row`` (the whole row as a struct) with doc_id, source, lang, topic, tokens, weight, probability, kept, copies."""
     text = docs[text_col]
     value = lambda column: F.coalesce(column.cast("string"), F.lit(NONE))
     columns = [
@@ -208,7 +215,15 @@ def mixed(
     ]
     cells = probabilities(docs.select(*columns[1:]), targets or Targets(), keep, most_cells)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *columns)
-    drawn = same_hash(F.col("doc_id"), seed) < F.col("probability")
+    number, whole = same_hash(F.col("doc_id"), seed), F.floor("due")
+    copies = whole + (number < F.col("due") - whole).cast("long")
     return rows.join(cells, list(DIMENSIONS)).select(
-        "row", "doc_id", *DIMENSIONS, "tokens", "weight", "probability", drawn.alias("kept")
+        "row",
+        "doc_id",
+        *DIMENSIONS,
+        "tokens",
+        "weight",
+        "probability",
+        (number < F.col("probability")).alias("kept"),
+        copies.alias("copies"),
     )
