@@ -9,7 +9,7 @@ language    drops documents that language identification rejects: no letter in t
 exact       of equal texts the one with the largest doc_id stays; of rows that repeat
             a doc_id and its text one
 near        of near duplicates (five-word shingles, similarity 0.75) the one with the
-            smallest doc_id stays
+            smallest doc_id stays (null last, then by md5 of the text)
 mix         a share of the tokens stays, drawn so that sources, languages and forms
             come closer to their targets; each document goes on once at most, so where a
             cell is due more copies the targets are not reached
@@ -64,7 +64,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    gone = minhash.near_duplicates(docs).filter("NOT kept")
+    gone = minhash.near_groups(docs).filter("NOT stays")
     gone = gone.select(F.col("doc_id").alias("id"), F.col("text_md5").alias("digest"))
     return _without(docs, gone, F.md5).select("row.*")
 

@@ -252,6 +252,17 @@ def test_pipeline(spark, edge, table, tmp_path):
     assert all(r.n == r.tokens for r in per_doc)
 
 
+def test_near_copies_with_null_or_equal_ids(spark):
+    text = lambda group, change: " ".join(f"w{group}x{k if k != change else -k}" for k in range(120))
+    rows = [(None, text(1, k)) for k in (0, 10, 20)] + [(7, text(2, k)) for k in (0, 10, 20)]
+    rows += [(None, text(3, 0)), (9, text(3, 10)), (8, text(3, 20)), (7, text(4, 0)), (None, "short"), (None, "brief")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = corpus_pipeline.near(spark, docs, "").collect()
+    first = lambda group: min((text(group, k) for k in (0, 10, 20)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    wanted = [(None, first(1)), (7, first(2)), (8, text(3, 20)), (7, text(4, 0)), (None, "short"), (None, "brief")]
+    assert Counter(map(tuple, left)) == Counter(wanted)
+
+
 def test_stages_hand_on_all_columns(spark, edge, empty):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, edge, "")

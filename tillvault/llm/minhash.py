@@ -229,9 +229,20 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bits: int = BITMAP_BITS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_md5) of every row."""
+    return near_groups(docs, id_col, text_col, percent, bits).drop("stays")
+
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bits: int = BITMAP_BITS
+) -> DataFrame:
+    """``near_duplicates`` and stays: true for one (doc_id, text) of each component, whatever its ids are.
+
+    That is the first by doc_id, null ids last, then by text_md5; rows without a set stay.
+    """
     texts = id_and_text(docs, id_col, text_col)
     sketched = written(sketches(texts), "sketches")
-    classes = sketched.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_md5")
+    classes = sketched.filter("print IS NOT NULL").groupBy("print").agg(F.min(row).alias("least"), F.first("bands").alias("bands"))
     bands = classes.select("print", F.explode("bands").alias("band"))
     several = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1").select("band")
     buckets = written(bands.join(several, "band").select("band", "print"), "buckets")
@@ -251,16 +262,20 @@ def near_duplicates(
 
     ids = classes.select("print", "least")
     named = ids.join(labels.withColumnRenamed("node", "print"), "print")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(least, "root").select("print", "component_id")
-    all_classes = ids.join(linked, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    linked = named.join(least, "root").select("print", "first")
+    all_classes = ids.join(linked, "print", "left").select("print", F.coalesce("first", "least").alias("first"))
     out = sketched.select("doc_id", "text_md5", "n_shingles", "print").join(all_classes, "print", "left")
     # Only rows without a set have no class.
-    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stays = F.col("print").isNull() | (
+        F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_md5") == F.col("first.text_md5"))
+    )
     return out.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         "text_md5",
+        stays.alias("stays"),
     )
