@@ -13,7 +13,7 @@ from test_llm_dedup import brute_near
 
 import corpus_pipeline
 from tillvault.llm import ctph, langid, mixing, queries, toxicity, warc
-from tillvault.llm.common import learns_id
+from tillvault.llm.common import learns, learns_id
 
 SF = "/root/testdata/sf0.01"
 
@@ -83,6 +83,25 @@ def test_far_texts_are_rejected(spark):
     assert [r.rejected for r in langid.predict(strange.coalesce(1), model).collect()] == [True, False]
 
 
+NEIGHBOURS = {
+    "it": "Il sole era già alto quando la famiglia decise di partire verso la montagna con tutti i bambini e il cane. Durante il viaggio parlarono della scuola, del lavoro e delle prossime vacanze, mentre la strada saliva lentamente tra i boschi e le piccole case di pietra.",
+    "pt": "O sol já estava alto quando a família decidiu partir para a montanha com todas as crianças e o cão. Durante a viagem falaram da escola, do trabalho e das próximas férias, enquanto a estrada subia devagar entre os bosques e as pequenas casas de pedra.",
+    "nl": "De zon stond al hoog toen het gezin besloot om met alle kinderen en de hond naar de bergen te vertrekken. Tijdens de reis spraken zij over de school, het werk en de volgende vakantie, terwijl de weg langzaam omhoog liep tussen de bossen en de huizen.",
+    "code": "def read_rows(path, limit=10):\n    rows = []\n    with open(path) as handle:\n        for number, line in enumerate(handle):\n            if number >= limit:\n                break\n            rows.append(line.rstrip().split(','))\n    return {key: value for key, value in rows}\n",
+}
+
+
+def test_neighbouring_languages_and_code_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit(langid.learnable(docs))
+    foreign = [t * n for t in NEIGHBOURS.values() for n in (1, 8)] + [NEIGHBOURS["code"][:25]]
+    rows = spark.createDataFrame([(t,) for t in foreign], "text string").coalesce(1)
+    assert all(r.rejected for r in langid.predict(rows, model).collect())
+    # What of the documents that were not learned from is lost.
+    held = langid.predict(docs.filter(~learns(F.col("doc_id"))).select("text"), model)
+    assert held.agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.01
+
+
 # --- WARC -------------------------------------------------------------------------
 
 

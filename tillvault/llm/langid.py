@@ -5,7 +5,12 @@ length 1. The idf counts every document that may be learned from. Each language
 several centroids, found by spherical k-means on at most ``SAMPLE`` of its documents
 (those with the least hash of their id). A text goes to the language of the centroid
 of largest cosine; its score is that cosine. It is rejected if it has no letter, or
-if its distance is beyond what the language's own documents of its length show.
+if its cosine is under that of nearly all (1 - ``LOSS``) of the language's sampled
+documents of its length. Those are measured against centroids fitted without them, so
+about that share of documents not learned from is lost too.
+
+Short texts have few trigrams: documents of a language have cosines as low as a short
+text of a neighbouring language, so of those some stay.
 
 Defined results: ``und`` with score 0 and rejected where the text is null, empty or
 has no letter; ``und`` with score 0 where nothing could be learned; rows that repeat are predicted each;
@@ -32,7 +37,9 @@ SAMPLE = 1000  # documents of each language that the centroids are fitted on
 CENTROIDS = 3
 ROUNDS = 8
 SEGMENT = 1 << 20
-SLACK = 0.2  # of the least cosine that the sample's documents of about that length have
+LOSS = 0.005  # share of a language's own documents that its bound rejects
+FOLDS = 4
+FEW = 20  # texts that a bound needs; a length class with fewer takes in those next to it
 LENGTHS = (8, 32, 128, 512)  # bounds of the length classes, in trigrams
 UNKNOWN = "und"
 
@@ -64,7 +71,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """centroids: unit vectors; of: each one's language; least: cosines by (language, length class)."""
+    """centroids: unit vectors; of: each one's language; least: bounds by (language, length class)."""
 
     languages: list[str]
     idf: np.ndarray
@@ -78,13 +85,38 @@ class Model:
         best = cosine.argmax(axis=1)
         top = cosine[np.arange(len(best)), best]
         language = self.of[best]
-        return language, top, top < SLACK * self.least[language, length_class(counts)]
+        return language, top, top < self.least[language, length_class(counts)]
 
 
 def length_class(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(LENGTHS), counts.sum(axis=1))
 
 
+def left_out_cosines(rows: np.ndarray, k: int) -> np.ndarray:
+    """The largest cosine of each row with centroids fitted on the rows of the other folds."""
+    fold, out = np.arange(len(rows)) % FOLDS, np.ones(len(rows))
+    for f in range(FOLDS):
+        if (fold == f).any() and (fold != f).any():
+            out[fold == f] = (rows[fold == f] @ k_means(rows[fold != f], k).T).max(axis=1)
+    return out
+
+
+def bounds(cosines: list[np.ndarray], kinds: list[np.ndarray]) -> np.ndarray:
+    """The bound of each (language, length class), from the sample's left-out cosines and classes.
+
+    Where a language has too few texts of all lengths, those of all languages count; 0 where these are too few.
+    """
+    out = np.zeros((len(cosines), len(LENGTHS) + 1), np.float32)
+    everything = np.concatenate(cosines), np.concatenate(kinds)
+    for i, own in enumerate(zip(cosines, kinds)):
+        cosine, kind = own if len(own[0]) >= FEW else everything
+        for c in range(out.shape[1]):
+            pools = (cosine[np.abs(kind - c) <= reach] for reach in range(out.shape[1]))
+            near = next((p for p in pools if len(p) >= FEW), None)
+            out[i, c] = 0 if near is None else np.quantile(near, LOSS)
+    return out
+
+
 def k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means from spread starting rows; at most as many centroids as distinct rows."""
     chosen = [int((rows @ rows.mean(axis=0)).argmax())]
@@ -158,17 +190,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
     if not counts:
         return None
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
-    found, of, least = [], [], np.zeros((len(counts), len(LENGTHS) + 1), np.float32)
+    found, of, cosines, kinds = [], [], [], []
     for i, rows in enumerate(counts.values()):
         unit = vectors(rows, idf)
         own = k_means(unit, centroids)
         found.append(own)
         of += [i] * len(own)
-        cosine, kind = (unit @ own.T).max(axis=1), length_class(rows)
-        for c in range(least.shape[1]):
-            near = cosine[kind == c]
-            least[i, c] = near.min() if len(near) >= 5 else 0
-    return Model(list(counts), idf, np.concatenate(found), np.array(of), least)
+        cosines.append(left_out_cosines(unit, centroids))
+        kinds.append(length_class(rows))
+    return Model(list(counts), idf, np.concatenate(found), np.array(of), bounds(cosines, kinds))
 
 
 def predictor(model: Model | None, texts_at: int, width: int):
