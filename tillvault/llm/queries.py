@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, suffixes, toxicity, warc
+from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, repetition, suffixes, toxicity, warc
 from tillvault.llm.common import documents, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,9 +88,51 @@ FROM kept JOIN documents USING (doc_id)
 """
 
 
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(documents(spark, sf_dir))
+
+
+_WORD = "[^ \\t\\n\\x0B\\f\\r]+"
+_NO_WORD = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def _covered(n: int) -> str:
+    """Words of each text in n-grams found twice or more, and characters of those in n-grams found earlier."""
+    return f"""
+g{n} AS (SELECT doc_id, i, w, CASE WHEN i + {n - 1} <= len(ws) THEN array_to_string(ws[i:i+{n - 1}], ' ') END AS gram FROM placed),
+t{n} AS (SELECT *, gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 AS again,
+              gram IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS later FROM g{n}),
+c{n} AS (SELECT doc_id, count_if(r) AS words, coalesce(sum(length(w)) FILTER (l), 0) AS chars
+       FROM (SELECT doc_id, w, bool_or(again) OVER s AS r, bool_or(later) OVER s AS l FROM t{n}
+             WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) GROUP BY doc_id)"""
+
+
+_LENGTHS = sorted({*repetition.LIMITS, repetition.BASE_LENGTH})
+_FAILED = f"len(ws) < {repetition.LEAST_WORDS} OR 100 * coalesce(c{repetition.BASE_LENGTH}.words, 0) > {repetition.BASE_LIMIT} * len(ws)"
+_WITHIN = "".join(f" AND 100 * coalesce(c{n}.chars, 0) <= {limit} * all_chars" for n, limit in repetition.LIMITS.items())
+OP12_SQL = f"""
+WITH texts AS (SELECT doc_id, text, regexp_extract_all(text, '{_WORD}') AS ws, length(regexp_replace(text, '{_NO_WORD}', '', 'g')) AS all_chars
+               FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+placed AS (SELECT doc_id, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM texts),
+lines AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '{_NO_WORD}', '', 'g'))) AS chars
+          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
+                FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+                      FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM texts))
+                WHERE regexp_matches(line, '{_WORD}')) WHERE nth > 1 GROUP BY doc_id),
+{",".join(map(_covered, _LENGTHS))}
+SELECT texts.doc_id, len(ws) AS n_words, all_chars AS word_chars,
+       length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+       coalesce(c{repetition.BASE_LENGTH}.words, 0) AS n_repeat_words, {_FAILED} AS base_failed,
+       NOT ({_FAILED}) AND 100 * coalesce(lines.chars, 0) <= {repetition.LINE_LIMIT} * all_chars{_WITHIN} AS kept,
+       coalesce(lines.chars, 0)::BIGINT AS dup_line_chars,
+       {", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_chars_{n}" for n in repetition.LIMITS)}
+FROM texts LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _LENGTHS)}
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages, "op12_repetition": op12_repetition}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_exact": OP2_SQL, "op7_warc": OP7_SQL, "op10_passages": OP10_SQL}
+    return {"op2_exact": OP2_SQL, "op7_warc": OP7_SQL, "op10_passages": OP10_SQL, "op12_repetition": OP12_SQL}
