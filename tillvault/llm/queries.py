@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, repetition, suffixes, toxicity, warc
+from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, repair, repetition, suffixes, toxicity, warc
 from tillvault.llm.common import documents, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ FROM kept JOIN documents USING (doc_id)
 """
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(tune(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
@@ -131,7 +135,7 @@ FROM texts LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages, "op12_repetition": op12_repetition}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages, "op11_repair": op11_repair, "op12_repetition": op12_repetition}
 
 
 def oracles() -> dict[str, str]:
