@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, repair, repetition, suffixes, toxicity, warc
+from tillvault.llm import ctph, exact, langid, minhash, mixing, packing, passages, phrases, repair, repetition, suffixes, toxicity, warc
 from tillvault.llm.common import documents, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,9 +134,37 @@ FROM texts LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir)).drop("size")
+
+
+OP13_SQL = f"""
+WITH pieces AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS ws
+                FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+found AS (SELECT lang, size, phrase, count(*) AS f
+          FROM (SELECT lang, size, array_to_string(ws[i:i+size-1], ' ') AS phrase
+                FROM (SELECT *, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM pieces, range(1, {phrases.LONGEST + 1}) r(size)))
+          GROUP BY ALL HAVING f >= {phrases.LEAST_COUNT}),
+candidates AS (FROM found c WHERE size > 1 AND NOT EXISTS (
+    FROM found o WHERE o.lang = c.lang AND o.size > c.size AND 100 * o.f::HUGEINT >= {phrases.PART_OF} * c.f::HUGEINT
+                   AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first,
+                array_to_string(string_split(phrase, ' ')[k+1:], ' ') AS rest
+         FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM candidates)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, (2000000 * a::HUGEINT // (l.f + r.f))::BIGINT AS score
+           FROM cuts JOIN found l ON l.lang = cuts.lang AND l.phrase = first JOIN found r ON r.lang = cuts.lang AND r.phrase = rest),
+least AS (FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least JOIN totals USING (lang) QUALIFY rank <= {phrases.TOP}
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages, "op11_repair": op11_repair, "op12_repetition": op12_repetition}
+    return {"op1_packing": op1_packing, "op2_exact": op2_exact, "op3_suffixes": op3_suffixes, "op4_minhash": op4_minhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_warc": op7_warc, "op8_mixing": op8_mixing, "op9_ctph": op9_ctph, "op10_passages": op10_passages, "op11_repair": op11_repair, "op12_repetition": op12_repetition, "op13_phrases": op13_phrases}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_exact": OP2_SQL, "op7_warc": OP7_SQL, "op10_passages": OP10_SQL, "op12_repetition": OP12_SQL}
+    return {"op2_exact": OP2_SQL, "op7_warc": OP7_SQL, "op10_passages": OP10_SQL, "op12_repetition": OP12_SQL, "op13_phrases": OP13_SQL}
