@@ -44,7 +44,7 @@ LONGEST = 4
 LEAST_COUNT = 30
 PART_OF = 80  # percent of its count that makes a phrase part of a longer one
 TOP = 2000
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BITMAP_BITS = 25
 
 _END = b"\xff"  # in no UTF-8 text
@@ -87,7 +87,7 @@ def transform(text: np.ndarray) -> np.ndarray:
         known *= 2
         if known < LONGEST:
             rank = np.unique(key, return_inverse=True)[1]
-    return text[np.argsort(key, kind="stable") - 1]
+    return text[np.argsort(key) - 1]
 
 
 class Index:
@@ -124,25 +124,31 @@ class Shard:
         first = self.forward.first
         return Phrases([np.arange(1, self.symbols)], first[1:-1], first[1:-1], np.diff(first)[1:])
 
-    def extended(self, phrases: Phrases, left: bool) -> Phrases:
-        """Every phrase with one more word on its left or right, and how often."""
+    def extended(self, phrases: Phrases, left: bool, last: bool = False) -> Phrases:
+        """Every phrase with one more word on its left or right, and how often; ``last``: without the intervals."""
         index, start, other = (
             (self.forward, phrases.forward, phrases.backward) if left else (self.backward, phrases.backward, phrases.forward)
         )
-        size = phrases.size
-        ends = np.cumsum(size)
-        owner = np.repeat(np.arange(len(size)), size)
-        rows = np.arange(len(owner)) - np.repeat(ends - size, size) + np.repeat(start, size)
-        key = owner * self.symbols + index.symbol[rows]
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        ends = np.cumsum(phrases.size)
+        begins = ends - phrases.size
+        rows = np.repeat(start - begins, phrases.size)
+        rows += np.arange(len(rows))
+        key = np.repeat(np.arange(len(ends)) * self.symbols, phrases.size)
+        key += index.symbol[rows]
+        if last:
+            key.sort()
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
         at = np.flatnonzero(np.diff(key, prepend=-1))
         counts = np.diff(np.append(at, len(key)))
-        of, symbol = key[at] // self.symbols, key[at] % self.symbols
-        near = index.to[rows[order[at]]]
-        far = other[of] + at - (ends - size)[of]  # as many rows later as there are smaller symbols
+        of, symbol = np.divmod(key[at], self.symbols)
         words = [w[of] for w in phrases.words]
         words = [symbol, *words] if left else [*words, symbol]
+        near = far = counts
+        if not last:
+            near = index.to[rows[order[at]]]
+            far = other[of] + at - begins[of]  # as many rows later as there are smaller symbols
         found = Phrases(words, near if left else far, far if left else near, counts)
         return found.only(symbol != 0)
 
@@ -292,14 +298,14 @@ def _counted(length: int, marks: dict[int, Marks]):
                 names = pa.array(words, pa.binary()).view(pa.string())
                 if length <= 2:
                     yield from rows(lang, sign, names, shard.single())
-                    yield from rows(lang, sign, names, shard.extended(shard.single(), left=False))
+                    yield from rows(lang, sign, names, shard.extended(shard.single(), left=False, last=True))
                     continue
                 hashes = np.array([0, *map(_word_hash, words)], np.uint64)
                 found = shard.extended(shard.single(), left=False)
                 for size in range(3, length + 1):
                     # To the left and to the right by turns: both indexes are needed, as neither end is fixed.
                     found = found.only(marks[size - 1].has(lang, hashes, found.words))
-                    found = shard.extended(found, left=size % 2 == 1)
+                    found = shard.extended(found, left=size % 2 == 1, last=size == length)
                     found = found.only(marks[size - 1].has(lang, hashes, found.words[:-1]))
                     found = found.only(marks[size - 1].has(lang, hashes, found.words[1:]))
                 yield from rows(lang, sign, names, found)
