@@ -220,31 +220,83 @@ def test_difference_cover():
     assert {(a - b) % v for a in places for b in places} == set(range(v))
 
 
-def brute_lines(pairs):
-    order = sorted({(i is None, i or 0, passages._key(i, t), t) for i, t in pairs})
+def brute_units(pairs, least=passages.LEAST):
+    order = sorted({(i is None, i or 0, passages._key(i, t.encode()), t) for i, t in pairs})
+    units = {}
+    for rank, (_, _, key, t) in enumerate(order):
+        own, at = units.setdefault(key, []), 0
+        for line in t.split("\n"):
+            said = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line.translate(_LOWER)))
+            if said:
+                own.append((passages.LINE, said, at, min(at + len(line) + 1, len(t))))
+            at += len(line) + 1
+        words = [(m.start(), m.end(), m.group().translate(_LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        ends = [k for k, w in enumerate(words) if w[2][-1] in ".!?" or k == len(words) - 1]
+        begins = [0, *(k + 1 for k in ends[:-1])]
+        for begin in begins:
+            for end in (e for e in ends if e >= begin):
+                run = words[begin : end + 1]
+                if sum(b - a for a, b, _ in run) >= least:
+                    own.append((passages.PARAGRAPH, " ".join(w for _, _, w in run), run[0][0], [*words, (len(t),)][end + 1][0]))
+                    break
     first = {}
-    for null, i, key, t in order:
-        for k, line in enumerate(t.split("\n")):
-            first.setdefault(passages.normalised(line), (key, k))
+    for rank, (_, _, key, _) in enumerate(order):
+        for kind, said, start, _ in sorted(units[key], key=lambda u: u[2]):
+            first.setdefault((kind, said), (key, start))
     out = Counter()
     for i, t in pairs:
-        kept, key = [], passages._key(i, t)
-        for k, line in enumerate(t.split("\n")):
-            unit = passages.normalised(line)
-            if unit.count(" ") < passages.LEAST - 1 or first[unit] == (key, k):
-                kept.append(line)
-        text = "\n".join(kept)
-        out[i, t.count("\n") + 1, t.count("\n") + 1 - len(kept), len(text), hashlib.sha256(text.encode()).hexdigest()] += 1
+        key = passages._key(i, t.encode())
+        gone = {u for u in units[key] if first[u[:2]] != (key, u[2])}
+        left = list(t)
+        marks = [0] * (len(t) + 1)
+        for _, _, a, b in gone:
+            for k in range(a, b):
+                left[k] = ""
+                marks[k] = 1
+        runs = sum(a == 0 and b == 1 for a, b in zip([0, *marks], marks))
+        kept = "".join(left)
+        lines = sum(u[0] == passages.LINE for u in gone)
+        out[i, runs, lines, len(t), len(kept), hashlib.sha256(kept.encode()).hexdigest()] += 1
     return out
 
 
-def test_repeated_lines(edge, empty, pairs):
-    got = passages.without_repeats(edge).collect()
-    assert Counter((r[0], r[1], r[2], r[4], r[5]) for r in got) == brute_lines(pairs)
-    by_id = {r.doc_id: r for r in got}
-    assert by_id[16].n_removed == 2 and by_id[17].n_removed == 1  # first occurrence stays
-    texts = dict((i, t) for i, t in pairs if i is not None)
-    for r in got:
-        for s in r.spans if r.doc_id is not None else ():
-            assert "\n" not in texts[r.doc_id][s.start : s.start + s.length]
+def counted_units(rows):
+    return Counter((r[0], r[1], r[2], r[4], r[5], r[6]) for r in rows)
+
+
+@pytest.mark.parametrize(("least", "bits", "share"), [(passages.LEAST, passages.BITMAP_BITS, passages.SHARE), (20, 6, 5)])
+def test_repeated_units(edge, empty, pairs, least, bits, share):
+    got = passages.without_repeats(edge, least=least, bits=bits, share=share).collect()
+    assert counted_units(got) == brute_units(pairs, least)
+    assert {len(r.spans) for r in got} > {0}
+    for row, text in ((r, dict(pairs)[r.doc_id]) for r in got if r.doc_id in (9, 16, 17)):
+        kept, at = "", 0
+        for span in row.spans:
+            kept, at = kept + text[at : span.start], span.start + span.length
+        assert kept + text[at:] == row.kept_text and row.n_removed == len(row.spans)
     assert passages.without_repeats(empty).isEmpty()
+
+
+def test_passages_inside_lines_and_wrapped_differently(spark):
+    """A passage of over 50 words is found whatever stands around it and wherever its lines break."""
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"own{rng.randint(0, 10**9)}" for _ in range(n))
+    said = [f"Said {fresh(rng.randint(4, 11))}." for _ in range(8)]
+    passage = " ".join(said)
+    wrap = lambda width: re.sub(f"((?:\\S+ ){{{width}}})", "\\1\n", passage)
+    texts = [f"{fresh(30)}. {passage} {fresh(30)}", f"{fresh(9)} {passage.upper()} {fresh(9)}", wrap(8), f"{fresh(3)}.\n{wrap(5)}\n{fresh(3)}"]
+    clean = [f"{fresh(40)}. Yes. {fresh(40)}. Yes. No." for _ in range(4)]
+    rows = list(enumerate(texts + clean))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.without_repeats(df).collect()
+    assert counted_units(got) == brute_units(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[0].n_passages == 0 and all(by_id[i].n_passages == 1 for i in (1, 2, 3))
+    assert all(len(re.findall("own", by_id[i].kept_text, re.I)) < len(re.findall("own", texts[i], re.I)) - 30 for i in (1, 2, 3))
+    assert all(by_id[i].n_removed == 0 for i in range(4, 8))
+
+
+def test_short_lines_are_units(spark):
+    rows = [(1, "Fin\nA  short line\nalone"), (2, "a short\tline\nother"), (3, "\n\nA short line"), (4, "\n\n x")]
+    got = {r.doc_id: r.kept_text for r in passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other", 3: "\n\n", 4: "\n\n x"}

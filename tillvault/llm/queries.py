@@ -70,21 +70,54 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.without_repeats(documents(spark, sf_dir)).drop("kept_text", "spans")
 
 
-_LINES = """
-SELECT doc_id, i, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-       '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ') AS unit
-FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
-      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
-"""
+_WORD = "[^ \\t\\n\\x0B\\f\\r]+"
+_NO_WORD = "[ \\t\\n\\x0B\\f\\r]+"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _islands(name: str, rows: str) -> str:
+    """Overlapping and touching spans of a document as one."""
+    return f"""
+{name} AS (SELECT doc_id, min(a) AS a, max(b) AS b
+           FROM (SELECT *, count_if(opens) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island
+                 FROM (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens
+                       FROM (SELECT doc_id, start AS a, start + size AS b FROM later WHERE {rows})))
+           GROUP BY doc_id, island)"""
+
+
 OP10_SQL = f"""
-WITH lines AS ({_LINES}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1
-                     AND length(unit) - length(replace(unit, ' ', '')) >= 9 AS gone FROM lines),
-kept AS (SELECT doc_id, count(*) AS n_units, count_if(gone) AS n_removed,
-                coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest FROM ranked GROUP BY doc_id)
-SELECT doc_id, n_units, n_removed, length(coalesce(text, '')) AS n_chars, length(rest) AS kept_chars,
-       sha256(rest) AS kept_sha256
-FROM kept JOIN documents USING (doc_id)
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, trim(regexp_replace({_LOW.format("line")}, '{_NO_WORD}', ' ', 'g'), ' ') AS unit,
+                 sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
+                 length(line) + (i < n)::INT AS size
+          FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n
+                FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM texts))),
+words AS (SELECT doc_id, i, n, trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS w,
+                 sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e
+          FROM (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i, len(ts) AS n
+                FROM (SELECT doc_id, regexp_extract_all(text, '{_NO_WORD.replace("+", "*")}{_WORD}') AS ts FROM texts))),
+sentences AS (SELECT doc_id, k, string_agg({_LOW.format("w")}, ' ' ORDER BY i) AS said, sum(length(w)) AS c, min(e - length(w)) AS a
+              FROM (SELECT *, coalesce(count_if(w[-1] IN ('.', '!', '?')) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+                    FROM words) GROUP BY doc_id, k),
+summed AS (SELECT sentences.*, row_number() OVER w AS j, sum(c) OVER w AS upto, coalesce(lead(a) OVER w, length(text)) AS b
+           FROM sentences JOIN texts USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+whole AS (SELECT doc_id, list(said ORDER BY j) AS ss FROM summed GROUP BY doc_id),
+paragraphs AS (SELECT f.doc_id, array_to_string(ss[f.j:l.j], ' ') AS unit, f.a AS start, l.b - f.a AS size
+               FROM (SELECT *, upto - c + {passages.LEAST} AS needs FROM summed) f
+               ASOF JOIN summed l ON f.doc_id = l.doc_id AND f.needs <= l.upto JOIN whole ON whole.doc_id = f.doc_id),
+units AS (SELECT doc_id, {passages.LINE} AS kind, unit, start, size FROM lines WHERE unit <> ''
+          UNION ALL SELECT doc_id, {passages.PARAGRAPH}, unit, start, size FROM paragraphs),
+later AS (FROM units QUALIFY row_number() OVER (PARTITION BY kind, unit ORDER BY doc_id, start) > 1),
+{_islands("gone", "true")},{_islands("said_again", f"kind = {passages.PARAGRAPH}")},
+pieces AS (SELECT doc_id, a, text[coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0)::BIGINT + 1:a::BIGINT] AS piece FROM gone JOIN texts USING (doc_id)),
+kept AS (SELECT doc_id, coalesce(head, '') || text[coalesce(upto, 0)::BIGINT + 1:] AS rest, coalesce(n, 0) AS n FROM texts
+         LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS head FROM pieces GROUP BY doc_id) USING (doc_id)
+         LEFT JOIN (SELECT doc_id, max(b) AS upto, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id))
+SELECT doc_id, n AS n_removed, coalesce(n_lines, 0) AS n_lines, coalesce(n_passages, 0) AS n_passages,
+       length(text) AS n_chars, length(rest) AS kept_chars, sha256(rest) AS kept_sha256
+FROM kept JOIN texts USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM later WHERE kind = {passages.LINE} GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n_passages FROM said_again GROUP BY doc_id) USING (doc_id)
 """
 
 
@@ -96,10 +129,6 @@ def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
 
-_WORD = "[^ \\t\\n\\x0B\\f\\r]+"
-_NO_WORD = "[ \\t\\n\\x0B\\f\\r]+"
-
-
 def _covered(n: int) -> str:
     """Words of each text in n-grams found twice or more, and characters of those in n-grams found earlier."""
     return f"""

@@ -66,8 +66,18 @@ def _hash_words(data: np.ndarray, first_bytes: np.ndarray) -> tuple[np.ndarray,
     return at[first], mix(np.add.reduceat(parts, first))
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of words before each text and in all); ends: text i is data[ends[i]:ends[i+1]]."""
+    hashes, _, bounds = word_places(data, ends)
+    return hashes, bounds
+
+
+def word_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, where it begins, number of words before each text and in all)."""
     starts = np.unique(ends[:-1])
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for a, b in _cuts(data, starts):
@@ -75,7 +85,8 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
         place, hashed = _hash_words(data[a:b], own)
         places.append(place + a)
         hashes.append(hashed)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), ends)
+    begins = np.concatenate(places)
+    return np.concatenate(hashes), begins, np.searchsorted(begins, ends)
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = WORDS) -> Iterator[np.ndarray]:
