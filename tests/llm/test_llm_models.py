@@ -290,3 +290,8 @@ def test_stages_hand_on_all_columns(spark, edge, empty):
         assert stage(spark, empty, "").isEmpty()
     once = corpus_pipeline.exact_stage(spark, edge, "").filter("doc_id = 15")
     assert once.count() == 1
+
+
+def test_numbers_are_no_letters():
+    assert not any(map(langid.has_letter, ("½", "²", "①", "Ⅷ", "12 _ .", "", "\u0301")))
+    assert all(map(langid.has_letter, ("a", "½ é", "漢", "ª", "² ß")))

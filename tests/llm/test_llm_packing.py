@@ -12,7 +12,6 @@ from tillvault.llm.queries import op1_packing
 
 def check(rows, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = [(i, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for i, t in docs]
     wanted = Counter((i, zlib.crc32(a.tobytes()), len(a)) for i, a in ids)
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -72,3 +71,12 @@ def test_step_groups_are_balanced():
     for (_, pieces), group in zip(windows, groups):
         cost[group] += sum(len(p[2]) ** 2 for p in pieces)
     assert set(groups) == {5, 6} and max(cost.values()) == min(cost.values())
+
+
+def test_added_tokens_are_the_tokenizers():
+    """Texts that spell an added token get the ids the plain tokenizer gives."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = packing.WordIds("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>\nb  <|endoftext|>é", "plain <|endof text|>", "none"):
+        assert np.frombuffer(words.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.of("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]

@@ -48,7 +48,12 @@ _CLASS = np.full(256, 32, np.uint32)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE = re.compile(r"[^\W\d_]")  # letters, but also fractions, circled and Roman numbers
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of a Unicode category L."""
+    return any(found.group().isalpha() for found in _MAY_BE.finditer(text))
 
 
 def trigram_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -209,13 +214,13 @@ def predictor(model: Model | None, texts_at: int, width: int):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = batch.column(texts_at).fill_null("")
-                has_letter = np.array([bool(_LETTER.search(t.as_py())) for t in texts], bool)
-                n = len(has_letter)
-                names, scores, rejected = [UNKNOWN] * n, np.zeros(n), ~has_letter
+                lettered = np.array([has_letter(t.as_py()) for t in texts], bool)
+                n = len(lettered)
+                names, scores, rejected = [UNKNOWN] * n, np.zeros(n), ~lettered
                 if model is not None and n:
                     language, cosine, far = model.nearest(trigram_counts(*flat(texts)))
-                    names = [model.languages[k] if letter else UNKNOWN for k, letter in zip(language, has_letter)]
-                    scores = np.where(has_letter, np.clip(cosine, 0, 1), 0).astype(np.float64)
+                    names = [model.languages[k] if letter else UNKNOWN for k, letter in zip(language, lettered)]
+                    scores = np.where(lettered, np.clip(cosine, 0, 1), 0).astype(np.float64)
                     rejected |= far
                 out = [pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(

@@ -77,7 +77,9 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold a token added to the vocabulary (an end mark, say) go through the tokenizer whole.
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = self.piece = None
         if ranks:
             import base64
@@ -95,10 +97,11 @@ class WordIds(dict):
 
     def encode(self, text: str) -> bytes:
         if self.fast and self.PLAIN.fullmatch(text):
-            ids = self.fast(text)
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+            return array("I", self.fast(text)).tobytes()
+        return self.by_tokenizer(text)
+
+    def by_tokenizer(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
@@ -120,6 +123,8 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self.by_tokenizer(text)
         first, *rest = self.CUT.split(text) if self.LOOSE.search(text) else text.split(" ")
         return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
