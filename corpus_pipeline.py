@@ -7,7 +7,7 @@ handed on.
 language    drops documents that language identification rejects: no letter in the
             text, or farther from every language than its own documents are
 exact       of equal texts the one with the largest doc_id stays; of rows that repeat
-            a doc_id and its text one
+            a doc_id and its text the one whose columns, as JSON, have the least SHA-256
 near        of near duplicates (five-word shingles, similarity 0.75) the one with the
             smallest doc_id stays (null last, then by md5 of the text)
 mix         a share of the tokens stays, drawn so that sources, languages and forms
@@ -55,9 +55,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _without(docs, groups.filter("NOT kept").select(*key), lambda text: F.sha2(text, 256))
     again = groups.filter("kept AND group_size > 1").groupBy(*key).count().filter("count > 1").select("id", "digest")
     if not again.isEmpty():
-        # Rows that repeat an id and a text: few by their nature, and one of each stays.
+        # Rows that repeat an id and a text: the one whose columns have the least digest stays.
         same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest"))
-        one = rows.join(again, same, "left_semi").dropDuplicates(["own_id", "own_digest"])
+        place = F.sha2(F.to_json("row"), 256)
+        one = rows.join(again, same, "left_semi").groupBy("own_id", "own_digest").agg(F.min_by("row", place).alias("row"))
         rows = rows.join(again, same, "left_anti").unionByName(one)
     return rows.select("row.*")
 
