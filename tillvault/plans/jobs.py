@@ -15,10 +15,18 @@ from tillvault.operators.guards import check_keys, check_present, split_by_key
 from tillvault.operators.insert import absent, first_of_key, within
 from tillvault.plans.session import tune
 from tillvault.plans.store import MONTH, Load, Store
-from tillvault.schemas import EXPORTS, JOURNAL, PAIRS
+from tillvault.schemas import EXPORTS, FILES, JOURNAL, PAIRS, struct
 from tillvault.sources.exports import read_export
 
 QUARANTINE = "quarantine"
+LOADED, SET_ASIDE = "geladen", "zurueckgestellt"
+
+
+def file_rows(
+    spark: SparkSession, export: str | None, day: date | None, paths: Sequence[str], time: datetime, state: str = LOADED, reason: str | None = None
+) -> DataFrame:
+    """Rows of the table of files, which a load adds together with its data."""
+    return spark.createDataFrame([(export, day, path, time, state, reason) for path in paths], struct(FILES))
 
 
 def run_import(
@@ -30,13 +38,13 @@ def run_import(
     load_ts: datetime,
     on_bad_keys: str = "raise",
     close_scope: str = "open_version",
-    marks: dict[str, list] | None = None,
+    files: DataFrame | None = None,
 ) -> dict[str, int]:
     """Loads the files of one export; all tables change together or not at all.
 
     Gives the number of rows staged, added and closed. Null or repeated keys
     stop the load, or are set aside in the staging area (``on_bad_keys='quarantine'``).
-    ``marks`` are notes stored with the load (see ``streaming.filedrop``).
+    ``files`` are added to the table of files (see ``streaming.filedrop``).
     """
     if on_bad_keys not in ("raise", QUARANTINE):
         raise ValueError(f"on_bad_keys must be 'raise' or {QUARANTINE!r}")
@@ -44,11 +52,12 @@ def run_import(
         raise ValueError("the journal has no quarantine: lines without a key stop its load")
     tune(spark)
     load = store.begin()
-    load.marks.update(marks or {})
     if export == "journal":
         counts = _load_journal(spark, load, paths, load_ts)
     else:
         counts = _load_master(spark, load, export, paths, export_date, load_ts, on_bad_keys, close_scope)
+    if files is not None:
+        load.append("dateien_t", files)
     load.commit()
     return counts
 

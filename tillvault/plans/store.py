@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillvault.schemas import CALENDAR, JOURNAL, PAIRS, POSITIONS, RECEIPTS, hub_columns, sat_columns, struct
+from tillvault.schemas import CALENDAR, FILES, JOURNAL, PAIRS, POSITIONS, RECEIPTS, hub_columns, sat_columns, struct
 
 MONTH = "monat"
 
@@ -27,6 +27,7 @@ TABLES: dict[str, dict[str, str]] = {
     "kassenbons_t": RECEIPTS,
     "kassenbons_pos_t": POSITIONS,
     "kalender_t": CALENDAR,
+    "dateien_t": FILES,
     **{p.hub: hub_columns(p) for p in PAIRS.values()},
     **{p.sat: sat_columns(p) for p in PAIRS.values()},
 }
@@ -74,7 +75,7 @@ class Store:
         """The newest manifest, or one that ``vacuum`` has kept."""
         versions = self._versions()
         if not versions:
-            return 0, {"tables": {}, "marks": {}}
+            return 0, {"tables": {}}
         chosen = versions[-1] if version is None else version
         stream = self._fs.open(self._path(self._manifest_file(chosen)))
         try:
@@ -165,7 +166,7 @@ class Store:
 
     def begin(self) -> Load:
         version, content = self.manifest()
-        return Load(self, version, content["tables"], content["marks"])
+        return Load(self, version, content["tables"])
 
 
 @dataclass
@@ -175,7 +176,6 @@ class Load:
     store: Store
     version: int
     tables: dict[str, list[str]]
-    marks: dict[str, list]
     id: str = field(default_factory=lambda: f"l{uuid.uuid4().hex}")
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
@@ -218,5 +218,5 @@ class Load:
         return self.store._frame(table, self.tables.get(table, []))
 
     def commit(self) -> int:
-        self.store._publish(self.version + 1, {"tables": self.tables, "marks": self.marks})
+        self.store._publish(self.version + 1, {"tables": self.tables})
         return self.version + 1

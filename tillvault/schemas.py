@@ -195,6 +195,16 @@ CALENDAR = {
     "kw": "int",
 }
 
+# Files taken in from a drop folder; no part of the original's tables.
+FILES = {
+    "export": "string",
+    "export_datum": "date",
+    "pfad": "string",
+    "zeit": "timestamp_ntz",
+    "stand": "string",
+    "grund": "string",
+}
+
 # --- fixed values: export layouts ----------------------------------------------
 
 _CP1252 = "cp1252"
