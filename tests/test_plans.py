@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from tillvault.operators import journal
+from tillvault.operators import insert, journal
 from tillvault.plans import catalog, frames
 from tillvault.plans.jobs import by_month
 
@@ -77,3 +77,22 @@ def test_order_aid_reads_its_period(spark):
 @pytest.mark.parametrize("name", ["asof_sale", "month_totals", "order_aid_bakery"])
 def test_receipts_are_joined_by_number(spark, name):
     assert "hashpartitioning(hash_bon" not in plan_of(spark, QUERIES[name](spark, SF_DIR))
+
+
+def test_existing_rows_are_filtered_before_they_are_shuffled(spark):
+    """Of 100,000 receipts a file of 300 spread over their range lets few through, none of its own is lost."""
+    existing = spark.range(100_000).selectExpr("cast(id % 3 AS int) AS kasse_nr", "id AS bon_nr", "cast(id % 7 AS int) AS pos")
+    new = spark.range(300).selectExpr("cast(id * 337 % 3 AS int) AS kasse_nr", "id * 337 AS bon_nr")
+    key = ["kasse_nr", "bon_nr"]
+    passed = insert.likely(existing, new, key)
+    # More than a tenth of the key range, less than a tenth of the rows.
+    count = passed.count()
+    own = existing.join(new, key, "left_semi")
+    assert own.count() <= count <= 10_000 and own.exceptAll(passed).isEmpty()
+    plan = insert.absent(new, passed, key)._jdf.queryExecution().executedPlan().toString()
+    join = plan.index("BroadcastHashJoin [_bucket")
+    assert "Exchange hashpartitioning(kasse_nr" not in plan[join:]
+    # A filter that is full changes nothing but the work.
+    for bits in (1, 15, 26):
+        added = insert.absent(new, insert.likely(existing, new, key, bits), key)
+        assert added.count() == 300 - own.count() == 3

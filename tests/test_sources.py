@@ -6,6 +6,8 @@ from exports import header, row
 from pyspark.sql import functions as F
 
 from tillvault.functions import german
+from tillvault.plans import jobs
+from tillvault.plans.store import Store
 from tillvault.schemas import EXPORTS
 from tillvault.sources.exports import read_export
 from tillvault.sources.stamp import parse_export_date
@@ -109,3 +111,62 @@ def test_timestamps(spark, drop):
     got = read_export(spark, "journal", path).first()
     assert got.bon_abschluss == datetime(2024, 12, 30, 10, 5)
     assert got.bon_beginn is None
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("1,50", "decimal(18,2)", "1.50"),
+        ("1,500000000000000", "decimal(18,2)", "1.50"),
+        ("-12", "decimal(5,2)", "-12.00"),
+        (" 7,1 ", "decimal(5,2)", "7.10"),
+        ("1,2300000000004", "decimal(18,2)", None),
+        ("0,0000000000000000001", "decimal(18,2)", None),
+        ("1000,00", "decimal(5,2)", None),
+        ("1.000,00", "decimal(18,2)", None),
+        ("1e-13", "decimal(18,2)", None),
+        ("x", "decimal(18,2)", None),
+    ],
+)
+def test_decimals_are_taken_whole_or_not_at_all(spark, text, kind, value):
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(german.decimal_comma(F.col("t"), kind, strict=False)).first()[0]
+    assert (str(got) if got is not None else None) == value
+    strict = df.select(german.decimal_comma(F.col("t"), kind))
+    if value is None:
+        with pytest.raises(Exception, match="does not fit|NUMERIC_VALUE_OUT_OF_RANGE|CAST_INVALID_INPUT"):
+            strict.collect()
+    else:
+        assert str(strict.first()[0]) == value
+
+
+def test_lenient_timestamps(spark):
+    df = spark.createDataFrame([("30.12.2024 10:05:00",), ("31.02.2024 10:05:00",), ("2024-12-30 10:05:00",), (None,)], "t string")
+    got = [r[0] for r in df.select(german.timestamp(F.col("t"), strict=False)).collect()]
+    assert [str(x) for x in got] == ["2024-12-30 10:05:00", "None", "None", "None"]
+
+
+def test_bad_lines_are_set_aside(spark, drop, tmp_path):
+    """A short line, a long one, a field of another kind, a line without its till: the others load."""
+    store = Store(spark, str(tmp_path / "store"))
+    good = [row("customers", kdnr=str(n)) for n in range(3)]
+    bad = [row("customers", kdnr="8")[:-1], [*row("customers", kdnr="9"), "x"], row("customers", kdnr="10", kd_name="ü", rabatt_satz="viel")]
+    path = drop("c.csv", header("customers"), [good[0], *bad, *good[1:]])
+    day, time = date(2024, 1, 31), datetime(2024, 1, 31)
+    with pytest.raises(Exception, match="MALFORMED|viel|malformed"):
+        jobs.run_import(spark, store, "customers", path, day, time)
+    counts = jobs.run_import(spark, store, "customers", path, day, time, on_bad_lines="set_aside")
+    assert counts["customers.bad_lines"] == 3 and counts["kunden.stage"] == 3
+    lines = [";".join(line) for line in bad]
+    set_aside = {r.zeile: (r.export, r.export_datum, r.fehler, r.pfad[-5:]) for r in store.read("schlechte_zeilen_t").collect()}
+    assert set(set_aside) == set(lines)
+    assert [set_aside[z][2] for z in lines] == ["zeile", "zeile", "rabatt_satz"] and {v[3] for v in set_aside.values()} == {"c.csv"}
+
+    journal = [row("journal", bon_nr="1"), row("journal", bon_nr="")[:5], row("journal", bon_nr="2"), row("journal", bon_nr="")]
+    path = drop("j.csv", header("journal"), journal, "utf8")
+    counts = jobs.run_import(spark, store, "journal", path, day, time, on_bad_lines="set_aside")
+    assert counts["journal.bad_lines"] == 2 and counts["journal.new"] == 2
+    faults = {r.fehler for r in store.read("schlechte_zeilen_t").filter("export = 'journal'").collect()}
+    assert "bon_nr" in faults and any(f.startswith("zeile") for f in faults)
+    good_only = drop("k.csv", header("customers"), good)
+    assert jobs.run_import(spark, store, "customers", good_only, day, time, on_bad_lines="set_aside")["customers.bad_lines"] == 0

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MARK_BITS = 26
+
 
 def absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash") -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing`` (only the key columns are read).
@@ -18,6 +20,33 @@ def absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash
     return new.join(existing.select(*names), names, "left_anti")
 
 
+def marks(keys: DataFrame, on: Sequence[str], bits: int = MARK_BITS) -> DataFrame:
+    """(bucket, marks): a membership filter of the key values, at most 2^bits bits whatever their number."""
+    slots = keys.select(_slot(on, bits).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_marks")
+    )
+
+
+def _slot(on: Sequence[str], bits: int) -> Column:
+    # Positions count from 1.
+    return F.xxhash64(*on).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+
+
+def likely(existing: DataFrame, keys: DataFrame, on: Sequence[str], bits: int = MARK_BITS) -> DataFrame:
+    """The part of ``existing`` that may have a key of ``keys``: all that have one, and a few others.
+
+    The filter is a table of at most 2^bits / 2^15 rows of 4 KB, so its broadcast is
+    bounded. It runs where ``existing`` is read, before anything is shuffled. Full of
+    marks, it lets more rows through; what an exact join then finds is the same.
+    """
+    slot = _slot(on, bits)
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_marks", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = existing.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(marks(keys, on, bits)), "_bucket")
+    return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*existing.columns)
+
+
 def insert_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash") -> DataFrame:
     """``existing`` plus the rows of ``new`` it does not have yet."""
     return existing.unionByName(absent(new, existing, key))

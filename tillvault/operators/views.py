@@ -69,7 +69,10 @@ def main_ean(positions: DataFrame, mean: DataFrame) -> DataFrame:
 
 
 def voids(receipts: DataFrame) -> DataFrame:
-    """Voided receipts with the receipt that voids them (same till, ``storno_ref`` = its number)."""
+    """Voided receipts with the receipt that voids them (same till, ``storno_ref`` = its number).
+
+    Voids that name no receipt are in ``voids_without_receipt``.
+    """
     voiding = receipts.filter(F.col("storno_ref").isNotNull()).select(
         "kasse_nr",
         F.col("storno_ref").try_cast("bigint").alias("bon_nr"),
@@ -79,3 +82,17 @@ def voids(receipts: DataFrame) -> DataFrame:
     )
     voided = receipts.select("kasse_nr", "bon_nr", "hash", "bon_summe")
     return voiding.join(voided, ["kasse_nr", "bon_nr"])
+
+
+def voids_without_receipt(receipts: DataFrame) -> DataFrame:
+    """Receipts whose ``storno_ref`` is no number (``grund``: 'nummer') or the number of no receipt of the till ('bon')."""
+    voiding = receipts.filter(F.col("storno_ref").isNotNull()).select(
+        "kasse_nr",
+        F.col("storno_ref").try_cast("bigint").alias("bon_nr"),
+        "storno_ref",
+        F.col("hash").alias("hash_storno"),
+        F.col("bon_nr").alias("bon_nr_storno"),
+    )
+    known = receipts.select("kasse_nr", "bon_nr")
+    grund = F.when(F.col("bon_nr").isNull(), "nummer").otherwise("bon")
+    return voiding.join(known, ["kasse_nr", "bon_nr"], "left_anti").withColumn("grund", grund).drop("bon_nr")

@@ -14,7 +14,7 @@ from tillvault.operators import journal as till
 from tillvault.plans import frames, texts
 from tillvault.plans.session import tune
 from tillvault.schemas import EXPORTS
-from tillvault.sources.exports import typed
+from tillvault.sources.exports import FAULTS, split_lines, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,28 @@ def parse_export(export: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(texts.export_texts(spark, sf_dir, export), export)
 
 
+# The field that names a line of an export.
+NAMED_BY = {"articles": "Strichcode", "customers": "KDNR", "journal": "Kassen-Nr."}
+
+
+def parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of three exports that are set aside, and the columns that are not of their kind."""
+
+    def bad(export: str) -> DataFrame:
+        raw = texts.faulty_texts(spark, sf_dir, export)
+        lines = typed(raw, export, extra=[F.col(f"`{NAMED_BY[export]}`").alias("schluessel")], strict=False)
+        found = F.array_join(FAULTS, ",").alias("fehler")
+        return split_lines(lines, export)[1].select(F.lit(export).alias("export"), "schluessel", found)
+
+    return stacked([bad(export) for export in texts.FAULTY])
+
+
+def parse_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of which no line is set aside, typed as ever."""
+    lines = typed(texts.faulty_texts(spark, sf_dir, "articles"), "articles", strict=False)
+    return split_lines(lines, "articles")[0]
+
+
 def _vault(spark: SparkSession, sf_dir: str, load: str, days=frames.DATES) -> tuple[DataFrame, DataFrame]:
     """Hub and satellite of a load, by the bulk form."""
     pair = frames.pair_of(load)
@@ -132,6 +154,19 @@ def journal_anti_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insert.insert_absent(new, old)
 
 
+def journal_filtered_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The early receipts are loaded; a later file brings some of them again, of numbers all over the range.
+
+    The rows it adds, by number of receipt and position. Of those loaded only what the
+    file's receipts mark is compared.
+    """
+    old = _journal(spark, sf_dir).filter(_before_split("bon_abschluss"))
+    lines = frames.table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") >= F.lit(SPLIT_DAY))
+    own = lines.select(F.col("l_orderkey").alias("bon_nr")).distinct()
+    new = till.journal_rows(frames.journal(spark, sf_dir, frames.RELOAD_TS)).join(own, "bon_nr", "left_semi")
+    return insert.absent(new, insert.likely(old, own, ["bon_nr"]), ["kasse_nr", "bon_nr", "pos"])
+
+
 def receipt_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = till.receipt_types(_journal(spark, sf_dir))
     top = till.top_rank(types).withColumnRenamed("max_rang", "rang")
@@ -236,6 +271,14 @@ def voids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.voids(marked)
 
 
+def voids_without_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``voids``, but the receipts of one till write their reference as text."""
+    number = (F.col("bon_nr") - 1).cast("string")
+    ref = F.when(F.col("kasse_nr") == 2, F.concat(F.lit("Bon "), number)).otherwise(number)
+    marked = _receipts(spark, sf_dir).withColumn("storno_ref", F.when(F.col("bon_typ") == "RN", ref))
+    return views.voids_without_receipt(marked)
+
+
 def order_aid(suppliers: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of some suppliers. Only the period's orders and their lines are read on."""
     period = (ORDER_UNTIL - timedelta(weeks=ORDER_WEEKS), ORDER_UNTIL)
@@ -297,6 +340,7 @@ def catalog() -> dict[str, Query]:
         "journal_positions": journal_positions,
         "journal_per_till": journal_per_till,
         "journal_anti_load": journal_anti_load,
+        "journal_filtered_load": journal_filtered_load,
         "receipt_type": receipt_type,
         "receipt_headers": receipt_headers,
         "receipts": _receipts,
@@ -317,6 +361,9 @@ def catalog() -> dict[str, Query]:
         "asof_sale": asof_sale,
         "ean_resolve": ean_resolve,
         "voids": voids,
+        "voids_without_receipt": voids_without_receipt,
+        "parse_rejects": parse_rejects,
+        "parse_accepted": parse_accepted,
         "order_aid_bakery": partial(order_aid, BAKERY),
         "order_aid_meat": partial(order_aid, MEAT),
         "inventory_articles": inventory_articles,

@@ -12,11 +12,11 @@ from tillvault.functions.calendar import month_text
 from tillvault.operators import journal as till
 from tillvault.operators import staging, status, vault
 from tillvault.operators.guards import check_keys, check_present, split_by_key
-from tillvault.operators.insert import absent, first_of_key, within
+from tillvault.operators.insert import absent, first_of_key, likely, within
 from tillvault.plans.session import tune
 from tillvault.plans.store import MONTH, Load, Store
 from tillvault.schemas import EXPORTS, FILES, JOURNAL, PAIRS, struct
-from tillvault.sources.exports import read_export
+from tillvault.sources.exports import FAULTS, FILE, LINE, read_export, split_lines
 
 QUARANTINE = "quarantine"
 LOADED, SET_ASIDE = "geladen", "zurueckgestellt"
@@ -39,13 +39,20 @@ def run_import(
     on_bad_keys: str = "raise",
     close_scope: str = "open_version",
     files: DataFrame | None = None,
+    on_bad_lines: str = "raise",
 ) -> dict[str, int]:
     """Loads the files of one export; all tables change together or not at all.
 
     Gives the number of rows staged, added and closed. Null or repeated keys
     stop the load, or are set aside in the staging area (``on_bad_keys='quarantine'``).
     ``files`` are added to the table of files (see ``streaming.filedrop``).
+
+    A damaged line, or one with a field that is not of its kind, stops the load too.
+    With ``on_bad_lines='set_aside'`` it goes, with its file and what is wrong, into the
+    table of bad lines, is counted, and the others are loaded.
     """
+    if on_bad_lines not in ("raise", "set_aside"):
+        raise ValueError("on_bad_lines must be 'raise' or 'set_aside'")
     if on_bad_keys not in ("raise", QUARANTINE):
         raise ValueError(f"on_bad_keys must be 'raise' or {QUARANTINE!r}")
     if export == "journal" and on_bad_keys == QUARANTINE:
@@ -53,15 +60,32 @@ def run_import(
     tune(spark)
     load = store.begin()
     if export == "journal":
-        counts = _load_journal(spark, load, paths, load_ts)
+        counts = _load_journal(spark, load, paths, export_date, load_ts, on_bad_lines)
     else:
-        counts = _load_master(spark, load, export, paths, export_date, load_ts, on_bad_keys, close_scope)
+        counts = _load_master(spark, load, export, paths, export_date, load_ts, on_bad_keys, close_scope, on_bad_lines)
     if files is not None:
         load.append("dateien_t", files)
     load.commit()
     return counts
 
 
+def _good_lines(
+    spark: SparkSession, load: Load, export: str, paths: str | Sequence[str], day: date, on_bad_lines: str, needed: Sequence[str] = (), **options
+) -> tuple[DataFrame, dict[str, int]]:
+    """The lines to load. Bad ones, also those without a value that is needed, go to their table; the files are read once."""
+    if on_bad_lines == "raise":
+        return read_export(spark, export, paths, **options), {}
+    lines = read_export(spark, export, paths, strict=False, **options)
+    empty = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in needed), F.lit(None).cast("string")))
+    lines = load.stage(f"{export}_gelesen", lines.withColumn(FAULTS, F.array_union(FAULTS, empty)))
+    good, bad = split_lines(lines, export)
+    bad = bad.select(
+        F.lit(export).alias("export"), F.lit(day).alias("export_datum"), F.col(FILE).alias("pfad"),
+        F.col(LINE).alias("zeile"), F.array_join(FAULTS, ",").alias("fehler"),
+    )
+    return good, {f"{export}.bad_lines": load.append("schlechte_zeilen_t", bad).count()}
+
+
 # --- master data ------------------------------------------------------------------
 
 
@@ -74,9 +98,9 @@ def _load_master(
     load_ts: datetime,
     on_bad_keys: str,
     close_scope: str,
+    on_bad_lines: str,
 ) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    rows = read_export(spark, export, paths)
+    rows, counts = _good_lines(spark, load, export, paths, export_date, on_bad_lines)
     # All stages are checked before any table is written.
     stages = {}
     for target in EXPORTS[export].targets:
@@ -116,11 +140,15 @@ def _whole(load: Load, table: str, df: DataFrame) -> list[str]:
 # --- till journal -----------------------------------------------------------------
 
 
-def _load_journal(spark: SparkSession, load: Load, paths: str | Sequence[str], load_ts: datetime) -> dict[str, int]:
+def _load_journal(
+    spark: SparkSession, load: Load, paths: str | Sequence[str], export_date: date, load_ts: datetime, on_bad_lines: str
+) -> dict[str, int]:
     # The lines with their place in the file are written first: places are only
     # meaningful within one reading of the files.
-    raw = load.stage("journal_lines", read_export(spark, "journal", paths, file_order=True))
-    check_present(raw, ["kasse_nr", "bon_nr", "bon_abschluss"], "journal")
+    needed = ["kasse_nr", "bon_nr", "bon_abschluss"]
+    good, counts = _good_lines(spark, load, "journal", paths, export_date, on_bad_lines, needed, file_order=True)
+    raw = good if counts else load.stage("journal_lines", good)
+    check_present(raw, needed, "journal")
     lines = till.complete_lines(raw, load_ts)
     numbered = till.number_with_leading(lines, ["_zeile"], till.leads(F.col("art_nr")))
 
@@ -128,24 +156,30 @@ def _load_journal(spark: SparkSession, load: Load, paths: str | Sequence[str], l
     # with the same key the first file's stays. Insert-if-absent and this choice
     # use the same key, so they share one shuffle. Journal and positions have the
     # same keys and are always loaded together: one anti-join serves both.
+    # Of the existing rows only those of receipts that the new files may have are shuffled:
+    # by the range of numbers, which skips row groups, and by a filter of the receipts.
     place = ["kasse_nr", "bon_nr", "pos"]
-    known = within(load.current("kassenjournal_t"), raw, "bon_nr")
+    bon = place[:2]
+    own = raw.select(*bon).distinct()
+
+    def known_of(table: str) -> DataFrame:
+        return likely(within(load.current(table), raw, "bon_nr"), own, bon)
+
+    known = known_of("kassenjournal_t")
     fresh = first_of_key(absent(numbered, known, place), place, [till.SCOPE])
     fresh = by_month(fresh.select(*JOURNAL, "hash_fuehrend"), "bon_abschluss")
     fresh = load.stage("journal", fresh.sortWithinPartitions("bon_nr", "pos"))
 
     # Receipts come from all lines of their file, also from those known already.
     of_file = till.receipts(lines, scope=(till.SCOPE,))
-    known = within(load.current("kassenbons_t"), raw, "bon_nr")
-    bon = place[:2]
-    receipts = first_of_key(absent(of_file, known, bon), bon, [till.SCOPE]).drop(till.SCOPE)
+    receipts = first_of_key(absent(of_file, known_of("kassenbons_t"), bon), bon, [till.SCOPE]).drop(till.SCOPE)
 
     journal = load.append("kassenjournal_t", fresh.select(*JOURNAL, MONTH))
     load.append("kassenbons_pos_t", till.positions(fresh, extra=(MONTH,)))
     receipts = load.append("kassenbons_t", by_month(receipts, "bon_datum").sortWithinPartitions("bon_nr"))
     days = absent(till.calendar_days(receipts), load.current("kalender_t"), "datum")
     days = load.append("kalender_t", days)
-    return {
+    return counts | {
         "journal.stage": raw.count(),
         "journal.new": journal.count(),
         "receipts.new": receipts.count(),

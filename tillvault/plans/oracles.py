@@ -368,6 +368,11 @@ def oracles() -> dict[str, str]:
     found["journal_anti_load"] = journal(
         f"SELECT {', '.join(JOURNAL)} FROM (SELECT * REPLACE ({_reloaded('j', day)}) FROM j)"
     )
+    found["journal_filtered_load"] = journal(
+        f"""SELECT {', '.join(JOURNAL)} FROM (SELECT * REPLACE ({_reloaded('j', day)}) FROM j)
+        WHERE NOT {day} < DATE '{catalog.SPLIT_DAY}'
+          AND bon_nr IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= DATE '{catalog.SPLIT_DAY}')"""
+    )
     found["receipt_type"] = journal(
         """SELECT DISTINCT kasse_nr, bon_nr, bon_typ, if(bon_typ = 'RN', -1, 1) AS rang FROM j
         QUALIFY bon_typ <> 'RN' OR bool_and(bon_typ = 'RN') OVER (PARTITION BY hash_bon)"""
@@ -422,6 +427,22 @@ def oracles() -> dict[str, str]:
         WHERE s.bon_typ = 'RN'""",
         RECEIPTS,
     )
+    found["voids_without_receipt"] = journal(
+        """SELECT kasse_nr, if(kasse_nr = 2, 'Bon ', '') || (bon_nr - 1) AS storno_ref, hash AS hash_storno, bon_nr AS bon_nr_storno,
+        if(kasse_nr = 2, 'nummer', 'bon') AS grund FROM b s
+        WHERE bon_typ = 'RN' AND (kasse_nr = 2 OR NOT EXISTS (FROM b v WHERE v.kasse_nr = s.kasse_nr AND v.bon_nr = s.bon_nr - 1))""",
+        RECEIPTS,
+    )
+    found["parse_rejects"] = """
+        SELECT 'articles' AS export, '00' || p_partkey AS schluessel, concat_ws(',', if(p_type = 'SMALL', 'idx', NULL),
+               if(p_size = 7, 'mengenfaktor', NULL), if(p_size > 45, 'vk_brutto', NULL)) AS fehler
+        FROM part WHERE fehler <> ''
+        UNION ALL SELECT 'customers', lpad(c_custkey::VARCHAR, 10, '0'), 'rabatt_satz' FROM customer WHERE c_acctbal > 5000
+        UNION ALL SELECT 'journal', (o_custkey % 3 + 1)::VARCHAR, concat_ws(',', if(l_quantity = 3, 'bon_nr', NULL),
+               if(l_tax = 0.07, 'bon_abschluss', NULL), if(l_discount = 0.05, 'menge', NULL)) AS fehler
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE fehler <> ''"""
+    found["parse_accepted"] = f"""SELECT * REPLACE (if(uwgr = '8', '?', art_bez) AS art_bez) FROM ({PARSED["articles"]})
+        WHERE kurzcode <> 'SMALL' AND uwgr <> '7' AND uwgr::INTEGER <= 45"""
     found["order_aid_bakery"] = _order_aid(catalog.BAKERY)
     found["order_aid_meat"] = _order_aid(catalog.MEAT)
     found["inventory_articles"] = f"""SELECT a.art_nr, a.art_bez, a.mengeneinheit, a.vk_brutto, a.wgr, g.wgr_bez,

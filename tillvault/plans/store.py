@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillvault.schemas import CALENDAR, FILES, JOURNAL, PAIRS, POSITIONS, RECEIPTS, hub_columns, sat_columns, struct
+from tillvault.schemas import BAD_LINES, CALENDAR, FILES, JOURNAL, PAIRS, POSITIONS, RECEIPTS, hub_columns, sat_columns, struct
 
 MONTH = "monat"
 
@@ -28,6 +28,7 @@ TABLES: dict[str, dict[str, str]] = {
     "kassenbons_pos_t": POSITIONS,
     "kalender_t": CALENDAR,
     "dateien_t": FILES,
+    "schlechte_zeilen_t": BAD_LINES,
     **{p.hub: hub_columns(p) for p in PAIRS.values()},
     **{p.sat: sat_columns(p) for p in PAIRS.values()},
 }

@@ -145,3 +145,33 @@ def export_texts(spark: SparkSession, sf_dir: str, export: str) -> DataFrame:
     for other in more:
         rows = rows.join(other, rows["l_orderkey"] == other["o_orderkey"])
     return rows.selectExpr(*(f"cast({texts.get(header, repr(''))} AS string) AS `{header}`" for header in EXPORTS[export].columns))
+
+
+# Export -> header -> (when, text): fields that a till could not have written.
+FAULTY: dict[str, dict[str, tuple[str, str]]] = {
+    "articles": {
+        "VKPreis": ("p_size > 45", "'1,999'"),
+        "Mengenfaktor": ("p_size = 7", "'1,0000000000001'"),
+        "Index": ("p_type = 'SMALL'", "'eins'"),
+        "Bezeichnung": ("p_size = 8", "'?'"),
+    },
+    "customers": {"Rabattsatz": ("c_acctbal > 5000", comma("c_acctbal"))},
+    "journal": {
+        "Zeitpunkt": ("l_tax = 0.07D", f"date_format({_CLOSED}, 'yyyy-MM-dd HH:mm:ss')"),
+        "Bon-Nr.": ("l_quantity = 3", "concat('B', l_orderkey)"),
+        "Menge": ("l_discount = 0.05D", "'1.000,5'"),
+    },
+}
+
+
+def faulty_texts(spark: SparkSession, sf_dir: str, export: str) -> DataFrame:
+    """``export_texts`` with some fields that are not of their kind."""
+    names, texts = TEXTS[export]
+    first, *more = (table(spark, sf_dir, name) for name in names.split())
+    rows = first
+    for other in more:
+        rows = rows.join(other, rows["l_orderkey"] == other["o_orderkey"])
+    fields = {header: texts.get(header, repr("")) for header in EXPORTS[export].columns}
+    for header, (when, text) in FAULTY[export].items():
+        fields[header] = f"if({when}, {text}, cast({fields[header]} AS string))"
+    return rows.selectExpr(*(f"cast({text} AS string) AS `{header}`" for header, text in fields.items()))

@@ -205,6 +205,15 @@ FILES = {
     "grund": "string",
 }
 
+# Lines of exports that a load has set aside.
+BAD_LINES = {
+    "export": "string",
+    "export_datum": "date",
+    "pfad": "string",
+    "zeile": "string",
+    "fehler": "string",
+}
+
 # --- fixed values: export layouts ----------------------------------------------
 
 _CP1252 = "cp1252"

@@ -42,12 +42,18 @@ NULL_TEXTS = (
 BLOCK_LINES = 20  # as a power of two
 
 
+#: Columns of a reading that sets bad lines aside: what is wrong, and the line itself.
+FAULTS, LINE, FILE = "_fehler", "_text", "_pfad"
+_CORRUPT = "_corrupt_record"
+
+
 def read_export(
     spark: SparkSession,
     name: str,
     paths: str | Sequence[str],
     null_texts: Sequence[str] = NULL_TEXTS,
     file_order: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """One or many files of an export, typed, columns under their table names.
 
@@ -55,18 +61,27 @@ def read_export(
     an error, as is a required column that is missing. With ``file_order`` the
     result also has the columns that reproduce the order of lines: ``_datei``,
     ``_block`` (a coarse place in the file) and ``_zeile`` (a fine one).
+
+    A line with too few or too many fields, or with a field that is not of its kind,
+    stops the reading. Not ``strict``: it stays, and ``_fehler`` says what is wrong
+    (see ``split_lines``).
     """
     spec = EXPORTS[name]
     cp1252 = spec.encoding == "cp1252"
-    raw = (
+    files = [paths] if isinstance(paths, str) else list(paths)
+    reader = (
         spark.read.option("sep", ";")
         .option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
-        .option("mode", "FAILFAST")
         .option("encoding", "ISO-8859-1" if cp1252 else spec.encoding)
-        .csv([paths] if isinstance(paths, str) else list(paths))
     )
+    if strict:
+        raw = reader.option("mode", "FAILFAST").csv(files)
+    else:
+        headers = reader.csv(files).columns
+        fields = ", ".join(f"`{h}` string" for h in [*headers, _CORRUPT])
+        raw = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).schema(fields).csv(files)
     columns = []
     if file_order:
         line = F.monotonically_increasing_id()
@@ -76,15 +91,20 @@ def read_export(
             F.struct(start.alias("start"), F.shiftright(line, BLOCK_LINES).alias("teil")).alias("_block"),
             line.alias("_zeile"),
         ]
-    return typed(raw, name, null_texts, columns)
+    if not strict:
+        text = F.coalesce(_CORRUPT, F.concat_ws(";", *(F.coalesce(f"`{h}`", F.lit("")) for h in headers)))
+        text = german.repair_cp1252(text) if cp1252 else text
+        columns += [F.col("_metadata.file_path").alias(FILE), text.alias(LINE)]
+    return typed(raw, name, null_texts, columns, strict)
 
 
 def typed(
-    raw: DataFrame, name: str, null_texts: Sequence[str] = NULL_TEXTS, extra: Sequence[Column] = ()
+    raw: DataFrame, name: str, null_texts: Sequence[str] = NULL_TEXTS, extra: Sequence[Column] = (), strict: bool = True
 ) -> DataFrame:
     """Lines of texts under an export's headers -> typed columns under their table names.
 
-    The texts of a cp1252 export are as ISO-8859-1 reads them.
+    The texts of a cp1252 export are as ISO-8859-1 reads them. Not ``strict``: a field
+    that is not of its kind is null, and its column's name is among the line's ``_fehler``.
     """
     spec = EXPORTS[name]
     cp1252 = spec.encoding == "cp1252"
@@ -92,12 +112,27 @@ def typed(
     if missing:
         raise ValueError(f"{name}: the file has no column {', '.join(missing)}")
 
-    columns = []
+    columns, faults = [], []
+    if not strict and _CORRUPT in raw.columns:
+        faults.append(F.when(F.col(_CORRUPT).isNotNull(), F.lit("zeile")))
     for header, (column, kind) in spec.columns.items():
         text = F.col(f"`{header}`")
         if cp1252:
             text = german.repair_cp1252(text)
         text = F.when(~text.isin(*null_texts), text)
-        columns.append(german.parse(text, kind).alias(column))
+        value = german.parse(text, kind, strict)
+        columns.append(value.alias(column))
+        if kind not in ("text", "number_text"):
+            faults.append(F.when(text.isNotNull() & value.isNull(), F.lit(column)))
+    if not strict:
+        found = F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
+        return raw.select(*columns, *extra, found.alias(FAULTS))
     rows = raw.select(*columns, *extra)
     return rows.dropDuplicates() if spec.distinct else rows
+
+
+def split_lines(lines: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """A reading that is not strict -> (good rows as a strict one gives them, bad lines with their ``_fehler``)."""
+    bad = F.size(FAULTS) > 0
+    good = lines.filter(~bad).drop(FAULTS, LINE, FILE)
+    return good.dropDuplicates() if EXPORTS[name].distinct else good, lines.filter(bad)
