@@ -195,6 +195,22 @@ def test_many_cells_are_raked_alike(spark, edge):
         assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-6 for k in few)
 
 
+def test_targets_that_cannot_be_met_say_so(spark):
+    """All of a source's tokens are of one language, but the targets want other shares of the two."""
+    rows = [(i, "word " * 50, "en" if i % 2 else "de", "a" if i % 2 else "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    bad = mixing.Targets(source={"a": 0.9, "b": 0.1}, lang={"en": 0.1, "de": 0.9})
+    for most in (100, 1):
+        assert {r.gap > 0.1 for r in mixing.mixed(df, bad, most_cells=most).collect()} == {True}
+        assert {r.gap < mixing.CLOSE for r in mixing.mixed(df, most_cells=most).collect()} == {True}
+
+
+def test_tokens_of_texts_without_spaces(spark):
+    texts = ["one two", "a\tb\nc", "漢" * 80, "", " ", None, "x" * 17]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(mixing.token_count(df.t)).collect()] == [2, 3, 10, 0, 0, 0, 3]
+
+
 def test_mixing_edge_cases(edge, empty):
     rows = mixing.mixed(edge).collect()
     assert len(rows) == edge.count() and {r.source for r in rows} == {"(none)", "a", "b"}

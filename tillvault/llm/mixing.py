@@ -13,7 +13,10 @@ The kept documents taken once each do not reach the targets: where a cell is due
 than one copy, its share is short. ``copies`` is the mix.
 
 Up to ``CELLS`` cells are raked on the driver; beyond that by DataFrame joins,
-with a written table every round.
+with a written table every round. Both take the same steps to the same tolerance.
+``gap`` is the largest share by which the last round still moved a source, language or
+topic: above ``CLOSE`` the targets cannot be met together (or not in ``ROUNDS`` rounds),
+and the weights are the last round's.
 
 Targets that are not given are the tokens' own shares to the power ``temperature``.
 Values without a target share the ``(other)`` target, or keep their own share.
@@ -37,6 +40,7 @@ from tillvault.llm.common import same_hash, written
 CELLS = 100_000
 ROUNDS = 50
 CLOSE = 1e-6
+HALVINGS = 60
 DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 OTHER = "(other)"
@@ -53,10 +57,8 @@ class Targets:
 
 
 def token_count(text: Column) -> Column:
-    """Words between single spaces: a cheap count of tokens in one scan."""
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(
-        F.length(text) - F.length(F.translate(text, " ", "")) + 1
-    ).cast("long")
+    """One for every eight characters begun of each run without blanks: words, and scripts that put no blanks between them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]{1,8}")), F.lit(0)).cast("long")
 
 
 def form(text: Column) -> Column:
@@ -86,8 +88,8 @@ def shares(tokens: dict[str, float], given: dict[str, float] | None, temperature
     return {k: v / scale for k, v in raw.items()}
 
 
-def rake(keys: list[tuple], tokens: np.ndarray, targets: Targets) -> np.ndarray:
-    """The weight of each cell."""
+def rake(keys: list[tuple], tokens: np.ndarray, targets: Targets) -> tuple[np.ndarray, float]:
+    """The weight of each cell, and how far the last round still moved one: the gap that is left to the targets."""
     total, places, wanted = tokens.sum(), [], []
     for d, name in enumerate(DIMENSIONS):
         values, place = np.unique([k[d] for k in keys], return_inverse=True)
@@ -95,7 +97,7 @@ def rake(keys: list[tuple], tokens: np.ndarray, targets: Targets) -> np.ndarray:
         goal = shares(sums, getattr(targets, name), targets.temperature[name])
         places.append(place)
         wanted.append(np.array([goal[v] for v in values.tolist()]) * total)
-    weights = np.ones(len(keys))
+    weights, moved = np.ones(len(keys)), 0.0
     for _ in range(ROUNDS):
         moved = 0.0
         for place, goal in zip(places, wanted):
@@ -105,13 +107,13 @@ def rake(keys: list[tuple], tokens: np.ndarray, targets: Targets) -> np.ndarray:
             weights *= factor[place]
         if moved < CLOSE:
             break
-    return weights
+    return weights, float(moved)
 
 
 def rate_for(tokens: np.ndarray, weights: np.ndarray, keep: float) -> float:
     """The rate at which ``keep`` of all tokens is expected to stay."""
     low, high = 0.0, 1 / max(1e-12, weights[weights > 0].min(initial=1.0))
-    for _ in range(100):
+    for _ in range(HALVINGS):
         middle = (low + high) / 2
         if (tokens * np.minimum(1, middle * weights)).sum() < keep * tokens.sum():
             low = middle
@@ -120,7 +122,7 @@ def rate_for(tokens: np.ndarray, weights: np.ndarray, keep: float) -> float:
     return high
 
 
-def rake_widely(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> DataFrame:
+def rake_widely(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
     """``rake`` for more cells than a driver should hold: the same steps as joins on sums."""
     total = F.col("tokens").cast("double")
     now = cells.withColumn("weight", F.lit(1.0))
@@ -141,6 +143,7 @@ def rake_widely(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> Dat
         goals[name] = written(
             raw.crossJoin(scale).select(name, (F.col("raw") / F.col("scale") * F.col("all")).alias("goal")), "goals"
         )
+    gap = 0.0
     for _ in range(rounds):
         moved = F.lit(0.0)
         for name in DIMENSIONS:
@@ -153,10 +156,11 @@ def rake_widely(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> Dat
             now = now.withColumn("moved", moved).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
             moved = F.col("moved")
         now = written(now, "cells")
-        if (now.agg(F.max("moved")).first()[0] or 0.0) < CLOSE:
+        gap = now.agg(F.max("moved")).first()[0] or 0.0
+        if gap < CLOSE:
             break
         now = now.drop("moved")
-    return now.select(*DIMENSIONS, "tokens", "weight")
+    return now.select(*DIMENSIONS, "tokens", "weight"), gap
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
@@ -164,29 +168,30 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def probabilities(rows: DataFrame, targets: Targets, keep: float, most_cells: int = CELLS) -> DataFrame:
-    """(source, lang, topic, weight, probability, due) of each cell of (source, lang, topic, tokens) rows."""
+    """(source, lang, topic, weight, probability, due, gap) of each cell of (source, lang, topic, tokens) rows."""
     spark = rows.sparkSession
     cells = written(cells_of(rows), "cells")
     if cells.count() > most_cells:
-        raked = written(rake_widely(cells, targets), "cells")
+        raked, gap = rake_widely(cells, targets)
+        raked = written(raked, "cells")
         wanted = raked.agg(F.sum("tokens")).first()[0] * keep
         lowest = raked.filter("weight > 0").agg(F.min("weight")).first()[0] or 1.0
         low, high = 0.0, 1 / lowest
-        for _ in range(30):
+        for _ in range(HALVINGS):
             middle = (low + high) / 2
             stays = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * middle))).first()[0]
             low, high = (middle, high) if stays < wanted else (low, middle)
         due = F.col("weight") * high
-        return raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), due).alias("probability"), due.alias("due"))
+        return raked.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), due).alias("probability"), due.alias("due"), F.lit(gap).alias("gap"))
     found = sorted((tuple(r[:3]), r.tokens) for r in cells.collect())
     keys, tokens = [k for k, _ in found], np.array([n for _, n in found], float)
-    weights = rake(keys, tokens, targets) if keys else tokens
+    weights, gap = rake(keys, tokens, targets) if keys else (tokens, 0.0)
     rate = rate_for(tokens, weights, keep) if keys else 0.0
-    table = [(*k, float(w), float(min(1.0, rate * w)), float(rate * w)) for k, w in zip(keys, weights)]
+    table = [(*k, float(w), float(min(1.0, rate * w)), float(rate * w), gap) for k, w in zip(keys, weights)]
     # At most ``most_cells`` rows.
     return F.broadcast(
         spark.createDataFrame(
-            table, "source string, lang string, topic string, weight double, probability double, due double"
+            table, "source string, lang string, topic string, weight double, probability double, due double, gap double"
         )
     )
 
@@ -203,7 +208,7 @@ def mixed(
     lang_col: str = "lang",
     topic: Column | None = None,
 ) -> DataFrame:
-    """``row`` (the whole row as a struct) with doc_id, source, lang, topic, tokens, weight, probability, kept, copies."""
+    """``row`` (the whole row as a struct) with doc_id, source, lang, topic, tokens, weight, probability, kept, copies, gap."""
     text = docs[text_col]
     value = lambda column: F.coalesce(column.cast("string"), F.lit(NONE))
     columns = [
@@ -226,4 +231,5 @@ def mixed(
         "probability",
         (number < F.col("probability")).alias("kept"),
         copies.alias("copies"),
+        "gap",
     )
