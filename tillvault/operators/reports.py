@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillvault.functions.calendar import month_text
@@ -46,6 +46,42 @@ def order_aid(
     )
 
 
+def order_aid_open(
+    positions: DataFrame,
+    receipts: DataFrame,
+    calendar: DataFrame,
+    groups: Sequence[str] | DataFrame,
+    until: date,
+    weeks: int = 4,
+) -> DataFrame:
+    """As ``order_aid``, but the mean over the days of the period on which the shop was open.
+
+    ``calendar`` (``datum``, ``wtag``) has a row for each such day: a day without sales
+    of an article counts as zero, a closed day not at all. Weekdays without an open day
+    are null.
+    """
+    since = until - timedelta(weeks=weeks)
+
+    def inside(day: str) -> Column:
+        return (F.col(day) >= F.lit(since)) & (F.col(day) < F.lit(until))
+
+    open_days = calendar.filter(inside("datum")).groupBy("wtag").agg(F.count_distinct("datum").alias("tage"))
+    day = receipts.filter(inside("bon_datum")).select("kasse_nr", "bon_nr", (F.weekday("bon_datum") + 1).alias("wtag"))
+    sold = positions.select("kasse_nr", "bon_nr", "wgr", "art_nr", "menge")
+    if isinstance(groups, DataFrame):
+        sold = sold.join(groups.select("wgr").distinct(), "wgr", "left_semi")
+    else:
+        sold = sold.filter(F.col("wgr").isin(*groups))
+    # Summed per article, then one row an article and open weekday: seven at most.
+    sums = {f"_{i}": F.sum(F.when(F.col("wtag") == i, F.col("menge"))) for i in range(1, 8)}
+    per_article = sold.join(day, ["kasse_nr", "bon_nr"]).groupBy("art_nr").agg(*(c.alias(n) for n, c in sums.items()))
+    rows = per_article.select("art_nr", F.posexplode(F.array(*sums)).alias("_vor", "menge")).withColumn("wtag", F.col("_vor") + 1)
+    means = rows.join(F.broadcast(open_days), "wtag", "left").withColumn("_mittel", F.coalesce("menge", F.lit(0)) / F.col("tage"))
+    return means.groupBy("art_nr").agg(
+        *(F.max(F.when(F.col("wtag") == i, F.col("_mittel"))).cast("decimal(18,3)").alias(name) for i, name in enumerate(WEEKDAYS, 1))
+    )
+
+
 def inventory_articles(articles: DataFrame, groups: DataFrame, deposits: DataFrame) -> DataFrame:
     """Current articles with group name, VAT rate and deposit; without press groups.
 

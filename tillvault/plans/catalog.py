@@ -289,6 +289,18 @@ def order_aid(suppliers: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.order_aid(till.with_group(rows), receipts, groups, ORDER_UNTIL, ORDER_WEEKS)
 
 
+def order_aid_open_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bakery groups. The shop is taken as closed on days whose number can be divided by five, and on Mondays."""
+    period = (ORDER_UNTIL - timedelta(weeks=ORDER_WEEKS), ORDER_UNTIL)
+    rows = frames.journal(spark, sf_dir, period=period)
+    closed = (F.dayofmonth("bon_datum") % 5 == 0) | (F.weekday("bon_datum") == 0)
+    receipts = till.receipts(till.journal_rows(rows)).filter(~closed)
+    groups = frames.table(spark, sf_dir, "supplier").filter(BAKERY)
+    groups = groups.select(F.concat(F.col("s_suppkey").cast("string"), F.lit(":0")).alias("wgr"))
+    days = till.calendar_days(receipts)
+    return reports.order_aid_open(till.with_group(rows), receipts, days, groups, ORDER_UNTIL, ORDER_WEEKS)
+
+
 def inventory_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = partial(_current, spark, sf_dir)
     return reports.inventory_articles(current("articles"), current("groups"), current("deposits"))
@@ -366,6 +378,7 @@ def catalog() -> dict[str, Query]:
         "parse_accepted": parse_accepted,
         "order_aid_bakery": partial(order_aid, BAKERY),
         "order_aid_meat": partial(order_aid, MEAT),
+        "order_aid_open_days": order_aid_open_days,
         "inventory_articles": inventory_articles,
         "inventory_supplier_articles": inventory_supplier_articles,
         "card_mix": card_mix,

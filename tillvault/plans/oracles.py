@@ -332,6 +332,22 @@ def _order_aid(suppliers: str) -> str:
     )
 
 
+def _order_aid_open_days() -> str:
+    days = ", ".join(
+        f"""CAST(CAST(coalesce(sum(menge) FILTER (WHERE isodow(bon_datum) = {i}), 0) AS DOUBLE)
+            / (SELECT nullif(count(DISTINCT bon_datum), 0) FROM o WHERE isodow(bon_datum) = {i}) AS DECIMAL(18,3)) AS {name}"""
+        for i, name in enumerate(("mo", "di", "mi", "do", "fr", "sa", "so"), start=1)
+    )
+    return journal(
+        f"""SELECT art_nr, {days} FROM g JOIN o ON g.hash_bon = o.hash
+        WHERE wgr IN (SELECT s_suppkey || ':0' FROM supplier WHERE {catalog.BAKERY}) GROUP BY art_nr""",
+        RECEIPTS,
+        POSITION_ROWS,
+        f"""o AS (SELECT * FROM b WHERE bon_datum >= DATE '{catalog.ORDER_UNTIL}' - INTERVAL {catalog.ORDER_WEEKS * 7} DAY
+        AND bon_datum < DATE '{catalog.ORDER_UNTIL}' AND day(bon_datum) % 5 <> 0 AND isodow(bon_datum) <> 1)""",
+    )
+
+
 _CALENDAR = """CAST(year(datum) AS INTEGER) AS jahr, CAST(month(datum) AS INTEGER) AS monat,
     CAST(day(datum) AS INTEGER) AS tag, CAST(isodow(datum) AS INTEGER) AS wtag, CAST(week(datum) AS INTEGER) AS kw"""
 
@@ -445,6 +461,7 @@ def oracles() -> dict[str, str]:
         WHERE kurzcode <> 'SMALL' AND uwgr <> '7' AND uwgr::INTEGER <= 45"""
     found["order_aid_bakery"] = _order_aid(catalog.BAKERY)
     found["order_aid_meat"] = _order_aid(catalog.MEAT)
+    found["order_aid_open_days"] = _order_aid_open_days()
     found["inventory_articles"] = f"""SELECT a.art_nr, a.art_bez, a.mengeneinheit, a.vk_brutto, a.wgr, g.wgr_bez,
         g.mwst_satz, d.pfand_brutto FROM ({current('articles')}) a
         LEFT JOIN ({current('groups')}) g ON g.wgr = a.wgr LEFT JOIN ({current('deposits')}) d ON d.art_nr = a.art_nr
