@@ -56,11 +56,13 @@ def first_hub(stage: DataFrame, pair: Pair) -> DataFrame:
     return _hub_rows(stage, pair)
 
 
-def load_hub(hub: DataFrame, stage: DataFrame, pair: Pair, touch: bool = True) -> DataFrame:
+def load_hub(
+    hub: DataFrame, stage: DataFrame, pair: Pair, touch: bool = True, unseen: str | None = None
+) -> DataFrame:
     """Adds unseen keys; with ``touch`` also moves ``zuletzt_gesehen`` of the known ones.
 
     The last load wins even if its export is the older one. Keys missing from
-    the stage stay as they are.
+    the stage stay as they are. ``unseen`` names a column that marks the keys added.
     """
     h, s = hub.alias("h"), _hub_rows(stage, pair).alias("s")
     newest = ("zuletzt_gesehen",) if touch else ()
@@ -68,6 +70,8 @@ def load_hub(hub: DataFrame, stage: DataFrame, pair: Pair, touch: bool = True) -
         f"coalesce(s.{n}, h.{n}) AS {n}" if n in newest else f"coalesce(h.{n}, s.{n}) AS {n}"
         for n in hub_columns(pair)
     )
+    if unseen:
+        columns = (*columns, f"h.hash IS NULL AS {unseen}")
     return h.join(s, F.col("h.hash") == F.col("s.hash"), "full_outer").selectExpr(*columns)
 
 

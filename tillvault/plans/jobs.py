@@ -59,13 +59,18 @@ def run_import(
         raise ValueError("the journal has no quarantine: lines without a key stop its load")
     tune(spark)
     load = store.begin()
-    if export == "journal":
-        counts = _load_journal(spark, load, paths, export_date, load_ts, on_bad_lines)
-    else:
-        counts = _load_master(spark, load, export, paths, export_date, load_ts, on_bad_keys, close_scope, on_bad_lines)
-    if files is not None:
-        load.append("dateien_t", files)
-    load.commit()
+    try:
+        if export == "journal":
+            counts = _load_journal(spark, load, paths, export_date, load_ts, on_bad_lines)
+        else:
+            counts = _load_master(
+                spark, load, export, paths, export_date, load_ts, on_bad_keys, close_scope, on_bad_lines
+            )
+        if files is not None:
+            load.append("dateien_t", files)
+        load.commit()
+    finally:
+        load.close()
     return counts
 
 
@@ -83,7 +88,8 @@ def _good_lines(
         F.lit(export).alias("export"), F.lit(day).alias("export_datum"), F.col(FILE).alias("pfad"),
         F.col(LINE).alias("zeile"), F.array_join(FAULTS, ",").alias("fehler"),
     )
-    return good, {f"{export}.bad_lines": load.append("schlechte_zeilen_t", bad).count()}
+    load.append("schlechte_zeilen_t", bad)
+    return good, {f"{export}.bad_lines": load.rows["schlechte_zeilen_t"]}
 
 
 # --- master data ------------------------------------------------------------------
@@ -109,34 +115,33 @@ def _load_master(
         keys = ("hash", *PAIRS[target.pair].keys)
         if on_bad_keys == QUARANTINE:
             good, bad = split_by_key(stage, keys)
-            counts[f"{target.pair}.quarantine"] = load.stage(f"{target.pair}_{QUARANTINE}", bad).count()
+            load.stage(f"{target.pair}_{QUARANTINE}", bad)
+            counts[f"{target.pair}.quarantine"] = load.rows[f"{target.pair}_{QUARANTINE}"]
             stage = load.stage(f"{target.pair}_good", good)
+            load.rows[target.pair] = load.rows[f"{target.pair}_good"]
         else:
             check_keys(stage, keys, what=target.pair)
         stages[target.pair] = stage
 
     for name, stage in stages.items():
         pair = PAIRS[name]
-        counts[f"{name}.stage"] = stage.count()
-        before = load.current(pair.hub).count()
-        hub = load.replace(pair.hub, vault.load_hub(load.current(pair.hub), stage, pair))
-        counts[f"{name}.hub_new"] = hub.count() - before
+        counts[f"{name}.stage"] = load.rows[name]
+        # Only the buckets of the stage's keys are read and rewritten, and only the stage is shuffled.
+        buckets = load.touched(stage, pair.hub, pair.sat)
+        hub = vault.load_hub(load.in_buckets(pair.hub, buckets), stage, pair, unseen="neu")
+        counts[f"{name}.hub_new"] = load.replace_buckets(pair.hub, hub, buckets, F.count_if("neu"))
+        closed = ~F.col("gueltig")
         if close_scope == "open_version":
             # Closed versions never change: only the open ones are read and rewritten.
-            sat = load.replace_open(pair.sat, vault.load_sat(load.open_versions(pair.sat), stage, pair))
+            sat = vault.load_sat(load.in_buckets(pair.sat, buckets), stage, pair)
         else:
-            load.tables[pair.sat] = _whole(load, pair.sat, vault.load_sat(load.current(pair.sat), stage, pair, close_scope))
-            sat = load.current(pair.sat).filter(F.col("eintrag_ets") == F.lit(load_ts.isoformat(sep=" ")).cast("timestamp_ntz"))
-        counts[f"{name}.sat_closed"] = sat.filter("NOT gueltig").count()
+            sat = vault.load_sat(load.current(pair.sat), stage, pair, close_scope)
+            closed &= F.col("eintrag_ets") == F.lit(load_ts.isoformat(sep=" ")).cast("timestamp_ntz")
+            buckets = load.rewrite(pair.sat)
+        counts[f"{name}.sat_closed"] = load.replace_buckets(pair.sat, sat, buckets, F.count_if(closed))
     return counts
 
 
-def _whole(load: Load, table: str, df: DataFrame) -> list[str]:
-    load.tables[table] = []
-    load.replace_open(table, df)
-    return load.tables[table]
-
-
 # --- till journal -----------------------------------------------------------------
 
 
@@ -174,16 +179,17 @@ def _load_journal(
     of_file = till.receipts(lines, scope=(till.SCOPE,))
     receipts = first_of_key(absent(of_file, known_of("kassenbons_t"), bon), bon, [till.SCOPE]).drop(till.SCOPE)
 
-    journal = load.append("kassenjournal_t", fresh.select(*JOURNAL, MONTH))
+    load.append("kassenjournal_t", fresh.select(*JOURNAL, MONTH))
     load.append("kassenbons_pos_t", till.positions(fresh, extra=(MONTH,)))
     receipts = load.append("kassenbons_t", by_month(receipts, "bon_datum").sortWithinPartitions("bon_nr"))
     days = absent(till.calendar_days(receipts), load.current("kalender_t"), "datum")
-    days = load.append("kalender_t", days)
+    load.append("kalender_t", days)
+    lines_read = load.rows["journal_lines"] if not counts else load.rows["journal_gelesen"] - counts["journal.bad_lines"]
     return counts | {
-        "journal.stage": raw.count(),
-        "journal.new": journal.count(),
-        "receipts.new": receipts.count(),
-        "calendar.new": days.count(),
+        "journal.stage": lines_read,
+        "journal.new": load.rows["kassenjournal_t"],
+        "receipts.new": load.rows["kassenbons_t"],
+        "calendar.new": load.rows["kalender_t"],
     }
 
 
