@@ -5,6 +5,7 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from llm_edges import SF_DIR, edge, empty, pairs  # noqa: F401
@@ -59,6 +60,50 @@ def test_pairs_count_beyond_their_terms():
     assert score(a, b) - score(a) - score(b) + score() > 1 and len(one) == 1
 
 
+def test_a_neutral_term_counts_beside_another(spark):
+    """'gruppe' is in as many clean as toxic documents; what it is worth depends on its neighbour."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):
+        insult, other, group = (bool(rng.random() < 0.4) for _ in range(3))
+        toxic = (insult and group) or (other and not group)
+        words = [w for w, there in (("trottel", insult), ("fiesling", other), ("gruppe", group)) if there]
+        words += [f"wort{n}" for n in rng.integers(0, 40, 8)]
+        rows.append((i, " ".join(rng.permutation(words)), int(toxic), insult, other, group))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, insult boolean, other boolean, has_group boolean")
+    neutral = docs.groupBy("toxic").agg(F.avg(F.col("has_group").cast("int")).alias("share")).collect()
+    assert abs(neutral[0].share - neutral[1].share) < 0.1
+    table, _ = toxicity.sampled(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), 5000)
+    mention = set(next(toxicity.counted(pa.array(["gruppe"])))[0].tolist())
+    assert not mention & set(toxicity.chosen_terms(table, partners=0).tolist())
+    assert mention & set(toxicity.chosen_terms(table).tolist())
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, docs).collect()}
+    mean = lambda rule: np.mean([got[r[0]] for r in rows if not learns_id(r[0]) and rule(*r[3:])])
+    assert mean(lambda i, o, g: i and not o and g) > 0.8 > 0.2 > mean(lambda i, o, g: i and not o and not g)
+    assert mean(lambda i, o, g: o and not i and not g) > 0.8 > 0.2 > mean(lambda i, o, g: o and not i and g)
+
+
+def test_terms_are_chosen_by_their_counts(spark):
+    """Counts and choice against counting in the driver, with and without a condition."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.random() < 0.3)) for i in range(400)]
+    rows = [(i, t, np.unique(np.append(rng.integers(0, 50, 6), [60] if t and rng.random() < 0.5 else [])).astype(np.uint32)) for i, t in rows]
+    table = spark.createDataFrame(
+        [(i, t, f.tobytes(), bytes(len(f))) for i, t, f in rows], "doc_id long, toxic int, terms binary, counts binary"
+    )
+    for holders in (None, np.array([3, 60, 99], np.uint32)):
+        want = {}
+        for holder in [-1] if holders is None else [3, 60]:
+            seen = [(t, set(f.tolist())) for _, t, f in rows if holder == -1 or holder in f]
+            every = (sum(t for t, _ in seen), sum(1 - t for t, _ in seen))
+            for term in set().union(*(f for _, f in seen)):
+                held = [t for t, f in seen if term in f]
+                want[holder, term] = (sum(held), len(held) - sum(held), *every)
+        got = toxicity.term_counts(table, holders).collect()
+        assert {(r.holder, r.term): (r.in_toxic, r.in_clean, r.toxic, r.clean) for r in got} == want and len(got) == len(want)
+    assert 60 in toxicity.chosen_terms(table) and len(toxicity.chosen_terms(table, most=1, partners=0)) == 1
+
+
 def test_language_on_held_out_documents(spark):
     rows = queries.op6_langid(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]

@@ -5,9 +5,17 @@ The machine scores
 
     w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,   x_i = sqrt(min(count, 3) / 3)
 
-so that two terms that are harmless alone can count together. It looks at the
-``TERMS`` terms that differ most between the two classes of the sample; all other
-terms score nothing, so the length of a text does not drown them.
+so that two terms that are harmless alone can count together. It looks at two kinds of
+terms; all others score nothing, so the length of a text does not drown them:
+
+* the ``TERMS`` terms that are most surely commoner in the toxic documents of the sample;
+* of the others, whichever class they are commoner in and also if in none, the ``PARTNERS``
+  terms that most surely part the classes *among the documents that hold one of the
+  ``HOLDERS`` surest terms of the first kind*, each of these looked at on its own: a group
+  mention that is toxic beside an insult, a negation that is not.
+
+Both are counted by Spark, two numbers a term; only the chosen terms' occurrences, at most
+``TERMS + PARTNERS`` of each document of the sample, come to the driver.
 
 It is fitted by AdaGrad on at most ``SAMPLE`` labelled documents of each class, those
 with the least hash of their id; the classes' weights are those they have among all
@@ -21,22 +29,26 @@ score is its share (0 or 1), with none 0; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillvault.llm.common import id_and_text, learns, same_hash
+from tillvault.llm.common import id_and_text, learns, same_hash, written
 from tillvault.llm.shingles import flat, term_hashes
 
 SAMPLE = 8000  # labelled documents of each class
 TERMS = 4096
+PARTNERS = 1024
+HOLDERS = 64
+SURE = 2  # errors by which a term's log odds have to differ from none
+SURE_BESIDE = 5  # the same for partners: so many pairs are tried that chance alone gives some 4
 FACTORS = 4
 MOST = 3  # occurrences that count
-LEAST_DOCUMENTS = 4  # of the sample's toxic documents that a term must be in
+LEAST_DOCUMENTS = 4  # of the toxic documents counted that a term must be in; a partner: of one of the classes
 THRESHOLD = 0.7
 EPOCHS = 30
 BATCH = 256
@@ -70,23 +82,73 @@ class Machine:
         return float(self.w0 + self.w[at] @ x + 0.5 * (total @ total - (vx * vx).sum()))
 
 
-def chosen_terms(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms whose share of documents differs most between the classes, by log odds over their error."""
-    terms, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    toxic = np.repeat(labels, [len(r[0]) for r in rows])
-    in_toxic = np.bincount(at[toxic == 1], minlength=len(terms)).astype(float)
-    in_clean = np.bincount(at[toxic == 0], minlength=len(terms)).astype(float)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    odds = np.log((in_toxic + 0.5) / (n1 - in_toxic + 0.5)) - np.log((in_clean + 0.5) / (n0 - in_clean + 0.5))
-    z = odds / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
-    z[in_toxic < LEAST_DOCUMENTS] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(terms[best[z[best] > 2]])
+def sureness() -> Column:
+    """Log odds of a term between the classes over their error; more than 0: commoner in toxic documents."""
+    t, c = F.col("in_toxic") + 0.5, F.col("in_clean") + 0.5
+    odds = F.log(t / (F.col("toxic") - t + 1)) - F.log(c / (F.col("clean") - c + 1))
+    return odds / F.sqrt(1 / t + 1 / c)
+
 
+def term_counts(sample: DataFrame, holders: np.ndarray | None = None) -> DataFrame:
+    """(holder, term, in_toxic, in_clean, toxic, clean) of the sample's documents.
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Machine:
-    """Weighted logistic loss, AdaGrad, small quadratic penalties; the same result for the same rows."""
-    terms = chosen_terms(rows, labels)
+    Of each holder the documents that hold it are counted: ``toxic`` and ``clean`` of them
+    there are, in ``in_toxic`` and ``in_clean`` is the term. Without ``holders`` all
+    documents count, for holder -1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[int, int], list[np.ndarray]] = {}
+            for toxic, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(packed.as_py(), np.uint32)
+                held = [-1] if holders is None else holders[np.isin(holders, own, assume_unique=True)].tolist()
+                for holder in held:
+                    found.setdefault((holder, toxic), []).append(own)
+            for (holder, toxic), documents in found.items():
+                terms, n = np.unique(np.concatenate(documents), return_counts=True)
+                # The number of documents goes as the count of term -1.
+                terms, n = np.append(terms.astype(np.int64), -1), np.append(n, len(documents))
+                none = np.zeros(len(n), np.int64)
+                columns = (np.full(len(n), holder, np.int64), terms, *((n, none) if toxic else (none, n)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["holder", "term", "in_toxic", "in_clean"])
+
+    parts = sample.select("toxic", "terms").mapInArrow(run, "holder long, term long, in_toxic long, in_clean long")
+    sums = written(
+        parts.groupBy("holder", "term").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean")), "terms"
+    )
+    every = sums.filter("term = -1").select("holder", F.col("in_toxic").alias("toxic"), F.col("in_clean").alias("clean"))
+    # One row a holder: at most HOLDERS.
+    return sums.filter("term >= 0").join(F.broadcast(every), "holder")
+
+
+def chosen_terms(sample: DataFrame, most: int = TERMS, partners: int = PARTNERS, holders: int = HOLDERS) -> np.ndarray:
+    """The terms that tell toxic documents by themselves, and those that do so beside them; sorted."""
+
+    def best(counts: DataFrame, least: float, most: int) -> np.ndarray:
+        rows = counts.groupBy("term").agg(F.max("z").alias("z")).filter(F.col("z") > least)
+        found = rows.orderBy(F.desc("z"), "term").limit(most).select("term").collect()
+        return np.array([r.term for r in found], np.uint32)
+
+    counts = term_counts(sample).filter(F.col("in_toxic") >= LEAST_DOCUMENTS)
+    alone = best(counts.withColumn("z", sureness()), SURE, most)
+    if not len(alone):
+        return alone
+    counts = term_counts(sample, alone[:holders]).filter(F.greatest("in_toxic", "in_clean") >= LEAST_DOCUMENTS)
+    counts = counts.filter(~F.col("term").isin(alone.tolist()))
+    return np.union1d(alone, best(counts.withColumn("z", F.abs(sureness())), SURE_BESIDE, partners))
+
+
+def train(
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 5,
+    terms: np.ndarray | None = None,
+) -> Machine:
+    """Weighted logistic loss, AdaGrad, small quadratic penalties; the same result for the same rows.
+
+    ``terms``: those it looks at, sorted; without them all that the rows have.
+    """
+    if terms is None:
+        terms = np.unique(np.concatenate([r[0] for r in rows]))
     rng = np.random.default_rng(seed)
     prior = float(np.average(labels, weights=weights))
     m = Machine(
@@ -128,11 +190,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     return m
 
 
-def sampled(texts: DataFrame, labels: DataFrame, sample: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """(terms and counts, labels, weights) of the sample, in an order of its own."""
+def sampled(texts: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, terms, counts) of the sample, as a table; and how many labels each class has."""
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    if not sizes:
-        return [], np.zeros(0), np.zeros(0)
     rate = F.when(F.col("toxic") == 1, min(1.0, sample / sizes.get(1, 1))).otherwise(min(1.0, sample / sizes.get(0, 1)))
     # At most about 2 * sample rows of (id, label): small by construction, so its side may be broadcast.
     few = F.broadcast(labels.filter(same_hash(F.col("doc_id"), 5) < rate))
@@ -142,27 +202,40 @@ def sampled(texts: DataFrame, labels: DataFrame, sample: int) -> tuple[list, np.
         for whole in batches:
             for i in range(0, whole.num_rows, 200):
                 batch = whole.slice(i, 200)
-                found = list(counted(batch.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(2),
-                        pa.array([t.tobytes() for t, _ in found], pa.binary()),
-                        pa.array([np.minimum(n, MOST).astype(np.uint8).tobytes() for _, n in found], pa.binary()),
-                    ],
-                    ["doc_id", "toxic", "terms", "counts"],
-                )
-
-    got = rows.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary").toArrow().sort_by("doc_id")
-    parts = [
-        (np.frombuffer(t.as_py(), np.uint32), np.frombuffer(n.as_py(), np.uint8))
-        for t, n in zip(got.column("terms"), got.column("counts"))
-    ]
-    toxic = got.column("toxic").to_numpy().astype(np.float64)
-    per_class = {k: (toxic == k).sum() for k in (0, 1)}
-    every = sum(sizes.values())
-    weight = {k: sizes.get(k, 0) / every * len(toxic) / max(1, per_class[k]) for k in (0, 1)}
-    return parts, toxic, np.where(toxic == 1, weight[1], weight[0])
+                yield _packed(batch.column(0), batch.column(2), counted(batch.column(1)))
+
+    return written(rows.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary"), "labelled"), sizes
+
+
+def _packed(ids: pa.Array, toxic: pa.Array, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    found = list(found)
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            toxic,
+            pa.array([t.tobytes() for t, _ in found], pa.binary()),
+            pa.array([np.minimum(n, MOST).astype(np.uint8).tobytes() for _, n in found], pa.binary()),
+        ],
+        ["doc_id", "toxic", "terms", "counts"],
+    )
+
+
+def _unpacked(terms: pa.Array, counts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(t.as_py(), np.uint32), np.frombuffer(n.as_py(), np.uint8)) for t, n in zip(terms, counts)]
+
+
+def kept_terms(sample: DataFrame, terms: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The chosen terms of each document of the sample, and the labels, in an order of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _unpacked(batch.column(2), batch.column(3))
+            known = [np.isin(t, terms, assume_unique=True) for t, _ in found]
+            yield _packed(batch.column(0), batch.column(1), ((t[k], n[k]) for (t, n), k in zip(found, known)))
+
+    got = sample.mapInArrow(run, sample.schema).toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("terms", "ascending"), ("counts", "ascending")])
+    return _unpacked(got.column("terms"), got.column("counts")), got.column("toxic").to_numpy().astype(np.float64)
 
 
 def fit(
@@ -174,10 +247,14 @@ def fit(
     known = known.filter(learns(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
     )
-    rows, toxic, weights = sampled(id_and_text(docs, id_col, text_col), known, sample)
-    if not len(toxic) or toxic.min() == toxic.max():
-        return float(toxic.max()) if len(toxic) else 0.0
-    return train(rows, toxic, weights)
+    table, sizes = sampled(id_and_text(docs, id_col, text_col), known, sample)
+    per_class = {r.toxic: r["count"] for r in table.groupBy("toxic").count().collect()}
+    if len(per_class) < 2:
+        return float(max(per_class, default=0))
+    terms = chosen_terms(table)
+    rows, toxic = kept_terms(table, terms)
+    weight = {k: sizes[k] / sum(sizes.values()) * len(toxic) / per_class[k] for k in (0, 1)}
+    return train(rows, toxic, np.where(toxic == 1, weight[1], weight[0]), terms=terms)
 
 
 def score(texts: DataFrame, model: Machine | float) -> DataFrame:
