@@ -91,15 +91,20 @@ def test_terms_are_chosen_by_their_counts(spark):
     table = spark.createDataFrame(
         [(i, t, f.tobytes(), bytes(len(f))) for i, t, f in rows], "doc_id long, toxic int, terms binary, counts binary"
     )
-    for holders in (None, np.array([3, 60, 99], np.uint32)):
+    candidates = np.array([3, 7, 20, 21, 60, 98], np.uint32)
+    every_term = set(range(50)) | {60}
+    for counts, holders, terms in (
+        (toxicity.term_counts(table), [-1], every_term),
+        (toxicity.beside_counts(table, np.array([60, 3, 99], np.uint32), candidates), [60, 3], set(candidates.tolist())),
+    ):
         want = {}
-        for holder in [-1] if holders is None else [3, 60]:
+        for holder in holders:
             seen = [(t, set(f.tolist())) for _, t, f in rows if holder == -1 or holder in f]
             every = (sum(t for t, _ in seen), sum(1 - t for t, _ in seen))
-            for term in set().union(*(f for _, f in seen)):
+            for term in terms & set().union(*(f for _, f in seen)):
                 held = [t for t, f in seen if term in f]
                 want[holder, term] = (sum(held), len(held) - sum(held), *every)
-        got = toxicity.term_counts(table, holders).collect()
+        got = counts.collect()
         assert {(r.holder, r.term): (r.in_toxic, r.in_clean, r.toxic, r.clean) for r in got} == want and len(got) == len(want)
     assert 60 in toxicity.chosen_terms(table) and len(toxicity.chosen_terms(table, most=1, partners=0)) == 1
 

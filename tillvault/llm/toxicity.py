@@ -9,10 +9,10 @@ so that two terms that are harmless alone can count together. It looks at two ki
 terms; all others score nothing, so the length of a text does not drown them:
 
 * the ``TERMS`` terms that are most surely commoner in the toxic documents of the sample;
-* of the others, whichever class they are commoner in and also if in none, the ``PARTNERS``
-  terms that most surely part the classes *among the documents that hold one of the
-  ``HOLDERS`` surest terms of the first kind*, each of these looked at on its own: a group
-  mention that is toxic beside an insult, a negation that is not.
+* of the ``CANDIDATES`` commonest others, whichever class they are commoner in and also if
+  in none, the ``PARTNERS`` that most surely part the classes *among the documents that hold
+  one of the ``HOLDERS`` surest terms of the first kind*, each of these looked at on its own:
+  a group mention that is toxic beside an insult, a negation that is not.
 
 Both are counted by Spark, two numbers a term; only the chosen terms' occurrences, at most
 ``TERMS + PARTNERS`` of each document of the sample, come to the driver.
@@ -43,7 +43,8 @@ from tillvault.llm.shingles import flat, term_hashes
 SAMPLE = 8000  # labelled documents of each class
 TERMS = 4096
 PARTNERS = 1024
-HOLDERS = 64
+HOLDERS = 32
+CANDIDATES = 16384
 SURE = 2  # errors by which a term's log odds have to differ from none
 SURE_BESIDE = 5  # the same for partners: so many pairs are tried that chance alone gives some 4
 FACTORS = 4
@@ -89,54 +90,88 @@ def sureness() -> Column:
     return odds / F.sqrt(1 / t + 1 / c)
 
 
-def term_counts(sample: DataFrame, holders: np.ndarray | None = None) -> DataFrame:
-    """(holder, term, in_toxic, in_clean, toxic, clean) of the sample's documents.
+def _with_totals(parts: DataFrame) -> DataFrame:
+    """Sums (holder, term, in_toxic, in_clean); the sums of term -1, documents of each class, become columns."""
+    sums = parts.groupBy("holder", "term").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
+    sums = written(sums, "terms")
+    every = sums.filter("term = -1").select("holder", F.col("in_toxic").alias("toxic"), F.col("in_clean").alias("clean"))
+    # One row a holder: at most HOLDERS.
+    return sums.filter("term >= 0").join(F.broadcast(every), "holder")
+
+
+COUNTS = "holder long, term long, in_toxic long, in_clean long"
+
 
-    Of each holder the documents that hold it are counted: ``toxic`` and ``clean`` of them
-    there are, in ``in_toxic`` and ``in_clean`` is the term. Without ``holders`` all
-    documents count, for holder -1.
+def _count_rows(holder: int, terms: np.ndarray, in_toxic: np.ndarray, in_clean: np.ndarray) -> pa.RecordBatch:
+    columns = (np.full(len(terms), holder), terms, in_toxic, in_clean)
+    names = ["holder", "term", "in_toxic", "in_clean"]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names)
+
+
+def term_counts(sample: DataFrame) -> DataFrame:
+    """(holder, term, in_toxic, in_clean, toxic, clean): how many documents of the sample have each term.
+
+    ``toxic`` and ``clean`` are all that are counted, ``holder`` is -1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], list[np.ndarray]] = {}
-            for toxic, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(packed.as_py(), np.uint32)
-                held = [-1] if holders is None else holders[np.isin(holders, own, assume_unique=True)].tolist()
-                for holder in held:
-                    found.setdefault((holder, toxic), []).append(own)
-            for (holder, toxic), documents in found.items():
+            toxic = batch.column(0).to_numpy()
+            found = [np.frombuffer(packed.as_py(), np.uint32) for packed in batch.column(1)]
+            for of in np.unique(toxic):
+                documents = [f for f, t in zip(found, toxic) if t == of]
                 terms, n = np.unique(np.concatenate(documents), return_counts=True)
                 # The number of documents goes as the count of term -1.
                 terms, n = np.append(terms.astype(np.int64), -1), np.append(n, len(documents))
-                none = np.zeros(len(n), np.int64)
-                columns = (np.full(len(n), holder, np.int64), terms, *((n, none) if toxic else (none, n)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["holder", "term", "in_toxic", "in_clean"])
+                yield _count_rows(-1, terms, n * of, n * (1 - of))
+
+    return _with_totals(sample.select("toxic", "terms").mapInArrow(run, COUNTS))
 
-    parts = sample.select("toxic", "terms").mapInArrow(run, "holder long, term long, in_toxic long, in_clean long")
-    sums = written(
-        parts.groupBy("holder", "term").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean")), "terms"
-    )
-    every = sums.filter("term = -1").select("holder", F.col("in_toxic").alias("toxic"), F.col("in_clean").alias("clean"))
-    # One row a holder: at most HOLDERS.
-    return sums.filter("term >= 0").join(F.broadcast(every), "holder")
 
+def beside_counts(sample: DataFrame, holders: np.ndarray, candidates: np.ndarray) -> DataFrame:
+    """As ``term_counts``, of the ``candidates`` (sorted) among the documents that hold a holder, for each holder.
 
-def chosen_terms(sample: DataFrame, most: int = TERMS, partners: int = PARTNERS, holders: int = HOLDERS) -> np.ndarray:
+    A task counts in one table of classes x holders x candidates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, len(holders), len(candidates) + 1), np.int32)
+        for batch in batches:
+            for toxic, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(packed.as_py(), np.uint32)
+                held = np.flatnonzero(np.isin(holders, own, assume_unique=True))
+                if len(held):
+                    there = np.flatnonzero(np.isin(candidates, own, assume_unique=True))
+                    n[toxic][np.ix_(held, np.append(there, len(candidates)))] += 1
+        names = np.append(candidates.astype(np.int64), -1)
+        for i, holder in enumerate(holders.tolist()):
+            some = np.flatnonzero(n[:, i].any(axis=0))
+            if len(some):
+                yield _count_rows(holder, names[some], n[1, i, some], n[0, i, some])
+
+    return _with_totals(sample.select("toxic", "terms").mapInArrow(run, COUNTS))
+
+
+def chosen_terms(
+    sample: DataFrame, most: int = TERMS, partners: int = PARTNERS, holders: int = HOLDERS, candidates: int = CANDIDATES
+) -> np.ndarray:
     """The terms that tell toxic documents by themselves, and those that do so beside them; sorted."""
 
-    def best(counts: DataFrame, least: float, most: int) -> np.ndarray:
-        rows = counts.groupBy("term").agg(F.max("z").alias("z")).filter(F.col("z") > least)
-        found = rows.orderBy(F.desc("z"), "term").limit(most).select("term").collect()
+    def best(counts: DataFrame, most: int) -> np.ndarray:
+        found = counts.orderBy(F.desc("z"), "term").limit(most).select("term").collect()
         return np.array([r.term for r in found], np.uint32)
 
-    counts = term_counts(sample).filter(F.col("in_toxic") >= LEAST_DOCUMENTS)
-    alone = best(counts.withColumn("z", sureness()), SURE, most)
-    if not len(alone):
-        return alone
-    counts = term_counts(sample, alone[:holders]).filter(F.greatest("in_toxic", "in_clean") >= LEAST_DOCUMENTS)
-    counts = counts.filter(~F.col("term").isin(alone.tolist()))
-    return np.union1d(alone, best(counts.withColumn("z", F.abs(sureness())), SURE_BESIDE, partners))
+    counts = term_counts(sample)
+    sure = counts.filter(F.col("in_toxic") >= LEAST_DOCUMENTS).withColumn("z", sureness()).filter(F.col("z") > SURE)
+    alone = best(sure, most)
+    if not len(alone) or not partners:
+        return np.sort(alone)
+    common = F.greatest("in_toxic", "in_clean")
+    others = counts.filter((common >= LEAST_DOCUMENTS) & ~F.col("term").isin(alone.tolist()))
+    others = np.sort(best(others.withColumn("z", common), candidates))
+    beside = beside_counts(sample, alone[:holders], others).withColumn("z", F.abs(sureness()))
+    beside = beside.groupBy("term").agg(F.max("z").alias("z")).filter(F.col("z") > SURE_BESIDE)
+    return np.union1d(alone, best(beside, partners))
 
 
 def train(
