@@ -9,7 +9,7 @@ from exports import header, row
 from pyspark.sql import functions as F
 
 from tillvault.operators import journal as till
-from tillvault.operators import ordering
+from tillvault.operators import ordering, status
 from tillvault.plans import jobs
 from tillvault.plans.store import Store
 
@@ -244,6 +244,14 @@ def test_journal_import(spark, loaded):
     assert jobs.last_change(store) == TS
 
 
+def test_months_are_read_from_folders(spark, loaded):
+    store, _, _ = loaded
+    months = store.months("kassenbons_t")
+    want = [r[0] for r in status.loaded_months(store.read("kassenbons_t")).collect()]
+    assert [r[0] for r in months.collect()] == want == jobs.loaded_months(store)
+    assert "ReadSchema: struct<>" in months._jdf.queryExecution().executedPlan().toString()
+
+
 def test_same_file_again_adds_nothing(spark, loaded):
     store, _, path = loaded
     later = datetime(2025, 2, 1, 12)

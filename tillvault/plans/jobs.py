@@ -208,7 +208,7 @@ def by_month(df: DataFrame, day: str) -> DataFrame:
 
 def loaded_months(store: Store) -> list[str]:
     """The months that have receipts."""
-    return [row[0] for row in status.loaded_months(store.read("kassenbons_t")).collect()]
+    return [row[0] for row in store.months("kassenbons_t").collect()]
 
 
 def last_change(store: Store) -> datetime | None:

@@ -192,6 +192,16 @@ class Store:
             found = found.filter(F.col(MONTH).between(*months))
         return found.select(*columns)
 
+    def months(self, table: str) -> DataFrame:
+        """The months of a till table, in order, by the names of its folders: no column of it is read."""
+        folders = self.manifest()[1]["tables"].get(table, [])
+        schema = struct({**TABLES[table], **PARTITIONS[table]})
+        if not folders:
+            return self.spark.createDataFrame([], schema).select(MONTH)
+        base = f"{self.root}/{table}"
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{base}/{f}" for f in folders))
+        return rows.select(MONTH).distinct().orderBy(MONTH)
+
     def begin(self) -> Load:
         version, content = self.manifest()
         own = content.get("buckets", {})
