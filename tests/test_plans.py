@@ -96,3 +96,9 @@ def test_existing_rows_are_filtered_before_they_are_shuffled(spark):
     for bits in (1, 15, 26):
         added = insert.absent(new, insert.likely(existing, new, key, bits), key)
         assert added.count() == 300 - own.count() == 3
+
+
+def test_leading_positions_are_summed_by_hash(spark):
+    """The carry's order is packed into numbers, so no step of it sorts to aggregate."""
+    plan = plan_of(spark, QUERIES["leading_position"](spark, SF_DIR))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

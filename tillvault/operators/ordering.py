@@ -9,14 +9,17 @@ border is one small row per block.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 BLOCK = "_block"
 HOT_ROWS = 1 << 20
 BUCKET_BITS = 20
 FAN = 22  # bits by which buckets are taken together
+PLACE_BITS = 31  # of a place in its receipt
 
 
 def block_hot_groups(
@@ -62,25 +65,48 @@ def number_in_order(
     return rows.withColumn(name, place).drop("_in_block", "_davor")
 
 
-def _leader(of: str, *names: str) -> Column:
-    return F.struct(*(F.col(f"{of}.{n}").alias(n) for n in names))
+def _in_bucket(receipt: str, place: Column) -> Column:
+    """(receipt, place) inside its bucket of receipts as one long, ordered like them: it is summed by hash."""
+    low = F.col(receipt).cast("long").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))
+    return F.shiftleft(low, PLACE_BITS) + place
+
+
+def _in_till(inside: Column) -> Column:
+    """``_in_bucket`` and the bucket it is in, ordered over a whole till: at most 96 bits, as a decimal."""
+    bucket = F.col("_eimer").cast("decimal(20,0)") + Decimal(1 << (63 - BUCKET_BITS))
+    return bucket * Decimal(1 << (BUCKET_BITS + PLACE_BITS)) + inside
+
+
+def _bucket_and_inside(packed: Column) -> tuple[Column, Column]:
+    """The two parts of ``_in_till``."""
+    size = F.lit(Decimal(1 << (BUCKET_BITS + PLACE_BITS)))
+    bucket = F.call_function("div", packed, size) - F.lit(1 << (63 - BUCKET_BITS))
+    return bucket, (packed % size).cast("long")
+
+
+def _leader(till: Column, bucket: Column, inside: Column, names: Sequence[str], receipt_type: DataType) -> Column:
+    receipt = F.shiftleft(bucket, BUCKET_BITS) + F.shiftright(inside, PLACE_BITS)
+    place = inside.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return F.struct(*(c.alias(n) for c, n in zip((till, receipt.cast(receipt_type), place), names)))
 
 
 def _before_each(buckets: DataFrame, scope: Sequence[str], till: str, bits: int) -> DataFrame:
-    """The last ``_ende`` before each bucket of its scope, and the scope's first ``_anfang``.
+    """The last ``_ende`` before each bucket of its scope, and the scope's first ``_anfang``, each with its till.
 
     Buckets are taken together by their upper bits, again and again, until a till is
     one row. So a task sees at most 2^FAN buckets of one till, however far receipt
     numbers lie apart, and in the end one row per till of a file.
     """
     earlier = (Window.unboundedPreceding, -1)
+    last = F.when(F.col("_ende").isNotNull(), F.struct(F.col(till).alias("kasse"), F.col("_ende").alias("wert")))
     if bits <= 0:
         order = Window.partitionBy(*scope).orderBy(till)
+        first = F.struct(F.col(till).alias("kasse"), F.col("_anfang").alias("wert"))
         return buckets.select(
             *scope,
             till,
-            F.last("_ende", ignorenulls=True).over(order.rowsBetween(*earlier)).alias("_eimer_ende"),
-            F.first("_anfang").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_anfang"),
+            F.last(last, ignorenulls=True).over(order.rowsBetween(*earlier)).alias("_eimer_ende"),
+            F.first(first).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_anfang"),
         )
     top = bits <= FAN
     group = [*scope, till] if top else [*scope, till, "_gruppe"]
@@ -92,7 +118,7 @@ def _before_each(buckets: DataFrame, scope: Sequence[str], till: str, bits: int)
         above = _before_each(sums.withColumnRenamed("_gruppe", "_eimer"), scope, till, bits - FAN)
         above = above.withColumnRenamed("_eimer", "_gruppe")
     inside = Window.partitionBy(*group).orderBy("_eimer").rowsBetween(*earlier)
-    own = rows.select(*group, "_eimer", F.last("_ende", ignorenulls=True).over(inside).alias("_innen"))
+    own = rows.select(*group, "_eimer", F.last(last, ignorenulls=True).over(inside).alias("_innen"))
     return own.join(above, group, "left").select(
         *scope, till, "_eimer", F.coalesce("_innen", "_eimer_ende").alias("_eimer_ende"), "_anfang"
     )
@@ -137,23 +163,28 @@ def number_and_carry(
     blocks = blocks.withColumn("_davor", F.sum("_n").over(earlier) - F.sum("_n").over(here))
     # The next two steps both start from this shuffle and read all its columns.
     blocks = blocks.withColumn("_eimer", F.shiftright(receipt, BUCKET_BITS)).repartition(*scope, till, "_eimer")
-    end = F.when(
-        F.col("_letzte").isNotNull(), F.struct(till, receipt, BLOCK, (F.col("_letzte") + F.col("_davor")).alias(place))
-    )
-    start = F.struct(till, receipt, BLOCK, (F.col("_von") + F.col("_davor")).alias(place), "_erste")
+    end = _in_bucket(receipt, F.col("_letzte") + F.col("_davor"))
+    start = _in_bucket(receipt, F.col("_von") + F.col("_davor"))
 
     # Over the blocks of a bucket: a bucket spans 2^20 receipt numbers.
     in_bucket = Window.partitionBy(*scope, till, "_eimer").orderBy(receipt, BLOCK)
     last_end = F.last(end, ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1))
 
     # Over the buckets of a file: one row per till and 2^20 receipt numbers.
-    buckets = blocks.groupBy(*scope, till, "_eimer").agg(F.max(end).alias("_ende"), F.min(start).alias("_anfang"))
+    buckets = blocks.groupBy(*scope, till, "_eimer").agg(
+        F.max(end).alias("_ende"), F.min(start).alias("_anfang")
+    )
+    buckets = buckets.withColumns({"_ende": _in_till(F.col("_ende")), "_anfang": _in_till(F.col("_anfang"))})
     buckets = _before_each(buckets, scope, till, 64 - BUCKET_BITS)
 
     # Rows need a look at their block only if it has a predecessor in its receipt,
     # or begins with a row that follows a leading one further back.
     opened = F.col("_erste").isNull() | (F.col("_von") < F.col("_erste"))
-    names = (till, receipt, place)
+    names, kind = (till, receipt, place), df.schema[receipt].dataType
+
+    def far(of: str) -> Column:
+        return _leader(F.col(f"{of}.kasse"), *_bucket_and_inside(F.col(f"{of}.wert")), names, kind)
+
     needed = (
         blocks.withColumn("_ende", last_end)
         .filter(opened | (F.col("_davor") > 0))
@@ -162,9 +193,9 @@ def number_and_carry(
             *part,
             F.col(till).alias("_till"),
             "_davor",
-            F.when(F.col("_ende").isNotNull(), _leader("_ende", *names))
-            .when(F.col("_eimer_ende").isNotNull(), _leader("_eimer_ende", *names))
-            .otherwise(_leader("_anfang", *names))
+            F.when(F.col("_ende").isNotNull(), _leader(F.col(till), F.col("_eimer"), F.col("_ende"), names, kind))
+            .when(F.col("_eimer_ende").isNotNull(), far("_eimer_ende"))
+            .otherwise(far("_anfang"))
             .alias("_geerbt"),
         )
     )
