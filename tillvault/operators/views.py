@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillvault.functions.lookups import FOLLOWS
 from tillvault.schemas import Pair
 
+SPREAD = 64  # parts of a day's receipts
 
 def current(hub: DataFrame, sat: DataFrame, pair: Pair) -> DataFrame:
     """Every key with its open version."""
@@ -43,22 +44,39 @@ def sold_as(positions: DataFrame, receipts: DataFrame, articles: DataFrame, attr
     """Positions with the article version valid on the day of sale.
 
     ``articles`` is ``history`` of the articles. Positions of unknown articles, or
-    older than the first version, keep nulls. An article has few versions, so the
-    equi-join on its number with the dates as a residual stays linear; a best
-    seller is a skewed partition on the positions' side only. Receipts are
-    joined by their numbers. Lines that follow another have no article and take
-    no part in the join, which they would all meet on one key.
+    older than the first version, keep nulls. A version counts until it ends or another
+    begins, also where their spans overlap (``close_scope="all_versions"`` leaves such).
+
+    The days on which an article was sold are merged with its versions, along time,
+    and each day takes the last version before it. So what meets in one task for an
+    article are its days and versions, not its lines. The lines are joined to these
+    days by article, day and one of ``SPREAD`` parts of the receipts, so a best seller
+    is split whether it sold for years or on a single day; an article sold in one
+    receipt a day still has one row there. Receipts are joined by their numbers.
+    Lines that follow another have no article and take no part in the join.
     """
-    day = receipts.select("kasse_nr", "bon_nr", "bon_datum")
-    versions = articles.select(
-        F.col("art_nr").alias("_art_nr"), "gueltig_adtm", "gueltig_edtm", *(F.col(a).alias(f"art_{a}") for a in attributes)
-    )
     bon = ["kasse_nr", "bon_nr"]
+    key = ["art_nr", "bon_datum", "_teil"]
+    day = receipts.select(*bon, "bon_datum", F.pmod(F.xxhash64(*bon), F.lit(SPREAD)).alias("_teil"))
     sold = positions.select("hash", *bon, "art_nr", "menge", "preis_gesamt").join(day, bon).drop(*bon)
     follows = F.coalesce(F.col("art_nr"), F.lit(FOLLOWS)) == FOLLOWS
-    match = (F.col("art_nr") == F.col("_art_nr")) & valid_on(F.col("bon_datum"))
-    found = sold.filter(~follows).join(versions, match, "left").drop("_art_nr", "gueltig_adtm", "gueltig_edtm")
-    return found.unionByName(sold.filter(follows), allowMissingColumns=True)
+
+    values = [F.col(a).alias(f"art_{a}") for a in attributes]
+    versions = articles.filter("gueltig_adtm < gueltig_edtm").select(
+        "art_nr",
+        F.col("gueltig_adtm").alias("bon_datum"),
+        F.struct(F.col("gueltig_edtm").alias("bis"), *values).alias("_version"),
+    )
+    days = sold.filter(~follows).select(*key).distinct()
+    merged = days.unionByName(versions, allowMissingColumns=True)
+    # A version counts from the day it begins: rows without a part come first.
+    along = Window.partitionBy("art_nr").orderBy("bon_datum", F.col("_teil").asc_nulls_first(), "_version.bis")
+    so_far = F.last("_version", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    found = merged.withColumn("_gilt", so_far).filter(F.col("_teil").isNotNull() & (F.col("bon_datum") < F.col("_gilt.bis")))
+    found = found.select(*key, *(F.col(f"_gilt.art_{a}") for a in attributes))
+    lines = sold.filter(~follows).join(found, key, "left")
+    columns = [*sold.columns, *(f"art_{a}" for a in attributes)]
+    return lines.select(*columns).unionByName(sold.filter(follows), allowMissingColumns=True).drop("_teil")
 
 
 def main_ean(positions: DataFrame, mean: DataFrame) -> DataFrame:
