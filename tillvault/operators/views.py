@@ -53,30 +53,29 @@ def sold_as(positions: DataFrame, receipts: DataFrame, articles: DataFrame, attr
     days by article, day and one of ``SPREAD`` parts of the receipts, so a best seller
     is split whether it sold for years or on a single day; an article sold in one
     receipt a day still has one row there. Receipts are joined by their numbers.
-    Lines that follow another have no article and take no part in the join.
+    Lines that follow another have no article: with a null for it they match nothing
+    and are dealt out by day and part.
     """
     bon = ["kasse_nr", "bon_nr"]
-    key = ["art_nr", "bon_datum", "_teil"]
+    key = ["_art", "bon_datum", "_teil"]
     day = receipts.select(*bon, "bon_datum", F.pmod(F.xxhash64(*bon), F.lit(SPREAD)).alias("_teil"))
     sold = positions.select("hash", *bon, "art_nr", "menge", "preis_gesamt").join(day, bon).drop(*bon)
-    follows = F.coalesce(F.col("art_nr"), F.lit(FOLLOWS)) == FOLLOWS
+    sold = sold.withColumn("_art", F.when(F.col("art_nr") != FOLLOWS, F.col("art_nr")))
 
     values = [F.col(a).alias(f"art_{a}") for a in attributes]
     versions = articles.filter("gueltig_adtm < gueltig_edtm").select(
-        "art_nr",
+        F.col("art_nr").alias("_art"),
         F.col("gueltig_adtm").alias("bon_datum"),
         F.struct(F.col("gueltig_edtm").alias("bis"), *values).alias("_version"),
     )
-    days = sold.filter(~follows).select(*key).distinct()
-    merged = days.unionByName(versions, allowMissingColumns=True)
+    merged = sold.filter("_art IS NOT NULL").select(*key).distinct().unionByName(versions, allowMissingColumns=True)
     # A version counts from the day it begins: rows without a part come first.
-    along = Window.partitionBy("art_nr").orderBy("bon_datum", F.col("_teil").asc_nulls_first(), "_version.bis")
+    along = Window.partitionBy("_art").orderBy("bon_datum", F.col("_teil").asc_nulls_first(), "_version.bis")
     so_far = F.last("_version", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
     found = merged.withColumn("_gilt", so_far).filter(F.col("_teil").isNotNull() & (F.col("bon_datum") < F.col("_gilt.bis")))
     found = found.select(*key, *(F.col(f"_gilt.art_{a}") for a in attributes))
-    lines = sold.filter(~follows).join(found, key, "left")
-    columns = [*sold.columns, *(f"art_{a}" for a in attributes)]
-    return lines.select(*columns).unionByName(sold.filter(follows), allowMissingColumns=True).drop("_teil")
+    rows = ["hash", "art_nr", "menge", "preis_gesamt", "bon_datum"]
+    return sold.join(found, key, "left").select(*rows, *(f"art_{a}" for a in attributes))
 
 
 def main_ean(positions: DataFrame, mean: DataFrame) -> DataFrame:
