@@ -6,6 +6,7 @@ hash key and attributes, stamp the batch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +80,19 @@ def unit_default(unit: Column) -> Column:
     return F.when(unit == 0, F.lit(1)).otherwise(unit)
 
 
-def stage(rows: DataFrame, export: str, pair: str, export_date: date, load_ts: datetime) -> DataFrame:
-    """Staging rows of ``pair`` from typed rows of ``export``."""
+def stage(
+    rows: DataFrame,
+    export: str,
+    pair: str,
+    export_date: date | Column,
+    load_ts: datetime | Column,
+    extra: Sequence[str] = (),
+) -> DataFrame:
+    """Staging rows of ``pair`` from typed rows of ``export``.
+
+    Date and time may be columns, of the rows of several exports. ``extra`` columns of
+    the rows are kept (see ``vault.bulk_sat``).
+    """
     spec: Export = EXPORTS[export]
     target = next(t for t in spec.targets if t.pair == pair)
     shape = PAIRS[pair]
@@ -101,5 +113,6 @@ def stage(rows: DataFrame, export: str, pair: str, export_date: date, load_ts: d
         *(
             f"cast({name if name in present else 'NULL'} AS {kind}) AS {name}"
             for name, kind in stage_columns(shape).items()
-        )
+        ),
+        *extra,
     )

@@ -37,6 +37,16 @@ def empty_sat(spark: SparkSession, pair: Pair) -> DataFrame:
     return spark.createDataFrame([], struct(sat_columns(pair)))
 
 
+# Operators that take ``by`` work by these columns instead of the hash, and keep them: columns
+# without nulls that are equal exactly where hashes are. Rows that lie by them already, as
+# after an aggregation, then stay where they are, and hashes are not shuffled.
+BY_HASH = ("hash",)
+
+
+def _kept(by: Sequence[str]) -> list[str]:
+    return [name for name in by if name != "hash"]
+
+
 # --- hub --------------------------------------------------------------------------
 
 
@@ -75,24 +85,27 @@ def load_hub(
     return h.join(s, F.col("h.hash") == F.col("s.hash"), "full_outer").selectExpr(*columns)
 
 
-def bulk_hub(stages: DataFrame, pair: Pair) -> DataFrame:
+def bulk_hub(stages: DataFrame, pair: Pair, by: Sequence[str] = BY_HASH) -> DataFrame:
     """The hub from all stages stacked, in the order of their loads (see ``LOAD_ORDER``)."""
-    first = F.min_by(F.struct("eintrag_ts", "export_datum", "quelle", *pair.keys), F.struct(*LOAD_ORDER))
-    seen = stages.groupBy("hash").agg(first.alias("f"), F.max("export_datum").alias("zuletzt_gesehen"))
+    kept = _kept(by)
+    row = ["eintrag_ts", "export_datum", "quelle", *pair.keys, *(["hash"] if kept else [])]
+    first = F.min_by(F.struct(*row), F.struct(*LOAD_ORDER))
+    seen = stages.groupBy(*by).agg(first.alias("f"), F.max("export_datum").alias("zuletzt_gesehen"))
     return seen.select(
-        "hash",
+        F.col("f.hash" if kept else "hash").alias("hash"),
         F.col("f.eintrag_ts").alias("eintrag_ats"),
         F.col("f.export_datum").alias("gueltig_adtm"),
         "zuletzt_gesehen",
         F.col("f.quelle").alias("quelle"),
         *(F.col(f"f.{k}").alias(k) for k in pair.keys),
+        *kept,
     )
 
 
 # --- satellite --------------------------------------------------------------------
 
 
-def _sat_rows(stage: DataFrame, pair: Pair) -> DataFrame:
+def _sat_rows(stage: DataFrame, pair: Pair, kept: Sequence[str] = ()) -> DataFrame:
     return stage.select(
         "hash",
         "hash_diff",
@@ -103,19 +116,22 @@ def _sat_rows(stage: DataFrame, pair: Pair) -> DataFrame:
         F.lit(True).alias("gueltig"),
         "quelle",
         *pair.attributes,
+        *kept,
     )
 
 
-def first_sat(stage: DataFrame, pair: Pair) -> DataFrame:
+def first_sat(stage: DataFrame, pair: Pair, by: Sequence[str] = BY_HASH) -> DataFrame:
     """The satellite after the very first load."""
-    return _sat_rows(stage, pair)
+    return _sat_rows(stage, pair, _kept(by))
 
 
 def changed(new_diff: Column, old_diff: Column) -> Column:
     return new_diff != old_diff
 
 
-def load_sat(sat: DataFrame, stage: DataFrame, pair: Pair, close_scope: str = "open_version") -> DataFrame:
+def load_sat(
+    sat: DataFrame, stage: DataFrame, pair: Pair, close_scope: str = "open_version", by: Sequence[str] = BY_HASH
+) -> DataFrame:
     """Closes changed versions and opens new ones.
 
     ``close_scope='all_versions'`` also moves the end dates of versions closed
@@ -123,10 +139,12 @@ def load_sat(sat: DataFrame, stage: DataFrame, pair: Pair, close_scope: str = "o
     """
     if close_scope not in CLOSE_SCOPES:
         raise ValueError(f"close_scope must be one of {CLOSE_SCOPES}")
-    v, s = sat.alias("v"), _sat_rows(stage, pair).alias("s")
-    names = list(sat_columns(pair))
+    v, s = sat.alias("v"), _sat_rows(stage, pair, _kept(by)).alias("s")
+    names = [*sat_columns(pair), *_kept(by)]
     # Only open versions meet a staged row; closed ones pass through the outer side.
-    meets = (F.col("v.hash") == F.col("s.hash")) & F.col("v.gueltig")
+    meets = F.col("v.gueltig")
+    for name in by:
+        meets = meets & (F.col(f"v.{name}") == F.col(f"s.{name}"))
     joined = v.join(s, meets, "full_outer").withColumn(
         "_zu", F.coalesce(changed(F.col("s.hash_diff"), F.col("v.hash_diff")), F.lit(False))
     )
@@ -154,22 +172,22 @@ def _move_all_ends(rows: DataFrame) -> DataFrame:
 
 
 def replay(
-    stages: Sequence[DataFrame], pair: Pair, close_scope: str = "open_version"
+    stages: Sequence[DataFrame], pair: Pair, close_scope: str = "open_version", by: Sequence[str] = BY_HASH
 ) -> tuple[DataFrame, DataFrame]:
     """Hub and satellite after loading the stages one after the other."""
     first, *rest = stages
     hub = reduce(lambda state, s: load_hub(state, s, pair), rest, first_hub(first, pair))
-    sat = reduce(lambda state, s: load_sat(state, s, pair, close_scope), rest, first_sat(first, pair))
+    sat = reduce(lambda state, s: load_sat(state, s, pair, close_scope, by), rest, first_sat(first, pair, by))
     return hub, sat
 
 
-def bulk_sat(stages: DataFrame, pair: Pair) -> DataFrame:
+def bulk_sat(stages: DataFrame, pair: Pair, by: Sequence[str] = BY_HASH) -> DataFrame:
     """The whole history from all stages stacked: the backfill form of ``load_sat``.
 
     One shuffle on the key whatever the number of exports; equal to loading them
     one by one in ``LOAD_ORDER``.
     """
-    in_time = Window.partitionBy("hash").orderBy(*LOAD_ORDER)
+    in_time = Window.partitionBy(*by).orderBy(*LOAD_ORDER)
     before = F.lag("hash_diff").over(in_time)
     versions = (
         stages.withColumn("_vorher", before)
@@ -191,4 +209,5 @@ def bulk_sat(stages: DataFrame, pair: Pair) -> DataFrame:
         F.col("_naechstes_datum").isNull().alias("gueltig"),
         "quelle",
         *pair.attributes,
+        *_kept(by),
     )

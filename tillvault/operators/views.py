@@ -7,20 +7,23 @@ and adaptive execution decides by measured sizes and splits skewed partitions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillvault.functions.lookups import FOLLOWS
+from tillvault.operators.vault import BY_HASH
 from tillvault.schemas import Pair
 
 SPREAD = 64  # parts of a day's receipts
 
-def current(hub: DataFrame, sat: DataFrame, pair: Pair) -> DataFrame:
-    """Every key with its open version."""
-    versions = sat.filter("gueltig").select("hash", "gueltig_adtm", *pair.attributes)
-    return hub.select("hash", *pair.keys).join(versions, "hash")
+def current(hub: DataFrame, sat: DataFrame, pair: Pair, by: Sequence[str] = BY_HASH) -> DataFrame:
+    """Every key with its open version; hub and satellite are joined ``by`` columns both have (see ``vault``)."""
+    versions = sat.filter("gueltig").select(*by, "gueltig_adtm", *pair.attributes)
+    joined = hub.select(*dict.fromkeys(("hash", *by)), *pair.keys).join(versions, list(by))
+    return joined.select("hash", *pair.keys, "gueltig_adtm", *pair.attributes)
 
 
 def valid_on(day: Column) -> Column:

@@ -13,7 +13,7 @@ from tillvault.operators import guards, insert, reports, status, vault, views
 from tillvault.operators import journal as till
 from tillvault.plans import frames, texts
 from tillvault.plans.session import tune
-from tillvault.schemas import EXPORTS
+from tillvault.schemas import EXPORTS, hub_columns, sat_columns
 from tillvault.sources.exports import FAULTS, split_lines, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,15 +44,19 @@ def hub_load(load: str, spark: SparkSession, sf_dir: str, touch: bool = False) -
 
 
 def sat_history(load: str, spark: SparkSession, sf_dir: str, close_scope: str = "open_version") -> DataFrame:
-    return vault.replay(frames.snapshots(spark, sf_dir, load), frames.pair_of(load), close_scope)[1]
+    pair = frames.pair_of(load)
+    sat = vault.replay(frames.snapshots(spark, sf_dir, load), pair, close_scope, frames.key_of(load))[1]
+    return sat.select(*sat_columns(pair))
 
 
 def sat_bulk(load: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vault.bulk_sat(stacked(frames.snapshots(spark, sf_dir, load)), frames.pair_of(load))
+    pair = frames.pair_of(load)
+    return vault.bulk_sat(frames.stacked(spark, sf_dir, load), pair, frames.key_of(load)).select(*sat_columns(pair))
 
 
 def hub_bulk(load: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vault.bulk_hub(stacked(frames.snapshots(spark, sf_dir, load)), frames.pair_of(load))
+    pair = frames.pair_of(load)
+    return vault.bulk_hub(frames.stacked(spark, sf_dir, load), pair, frames.key_of(load)).select(*hub_columns(pair))
 
 
 def sat_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +107,13 @@ def parse_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vault(spark: SparkSession, sf_dir: str, load: str, days=frames.DATES) -> tuple[DataFrame, DataFrame]:
     """Hub and satellite of a load, by the bulk form."""
-    pair = frames.pair_of(load)
-    stages = stacked(frames.snapshots(spark, sf_dir, load, days))
-    return vault.bulk_hub(stages, pair), vault.bulk_sat(stages, pair)
+    pair, by = frames.pair_of(load), frames.key_of(load)
+    stages = frames.stacked(spark, sf_dir, load, days)
+    return vault.bulk_hub(stages, pair, by), vault.bulk_sat(stages, pair, by)
 
 
 def _current(spark: SparkSession, sf_dir: str, load: str) -> DataFrame:
-    return views.current(*_vault(spark, sf_dir, load), frames.pair_of(load))
+    return views.current(*_vault(spark, sf_dir, load), frames.pair_of(load), frames.key_of(load))
 
 
 def current_view(spark: SparkSession, sf_dir: str) -> DataFrame:

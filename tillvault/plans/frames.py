@@ -12,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, time, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillvault.functions.keys import MISSING
 from tillvault.operators import journal as till
 from tillvault.operators import staging
 from tillvault.operators.ordering import HOT_ROWS, block_hot_groups
+from tillvault.operators.vault import BY_HASH
 from tillvault.schemas import PAIRS
+from tillvault.sources.stamp import load_time
 
 DATES = (date(2023, 1, 31), date(2023, 2, 28), date(2023, 3, 31))
 SALE_DATES = (date(1996, 1, 31), date(1998, 2, 28), date(2000, 3, 31))
@@ -42,6 +46,8 @@ class Input:
     missing_2: str
     step_1: str
     step_2: str
+    # Columns of the table, kept by ``rows``, without nulls and equal where the keys are.
+    by: tuple[str, ...] = BY_HASH
 
 
 # Given, so that no job has to open files to find out.
@@ -61,6 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """The size of the tables' files."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet") for name in SCHEMAS]
+    systems = [(path, path.getFileSystem(conf)) for path in paths]
+    return sum(fs.getContentSummary(path).getLength() for path, fs in systems if fs.exists(path))
+
+
 def _of(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: table(spark, sf_dir, name)
 
@@ -163,18 +177,25 @@ def _press_articles(df: DataFrame, step: Column) -> DataFrame:
     )
 
 
+# Numbers of part and supplier as texts, a missing one as it is hashed: equal where the keys are.
+_SUPPLIER_ARTICLE = ("_teil", "_lieferant")
+
+
 def _supplier_article_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_partkey", "l_suppkey").agg(
+    part, supplier = (F.coalesce(_text(c), F.lit(MISSING)).alias(k) for c, k in zip(("l_partkey", "l_suppkey"), _SUPPLIER_ARTICLE))
+    return lines.groupBy(part, supplier).agg(
         F.min("l_extendedprice").alias("preis"), F.count_if(F.col("l_returnflag") == "R").alias("zurueck")
     )
 
 
 def _supplier_articles(df: DataFrame, step: Column) -> DataFrame:
+    part, supplier = (F.nullif(F.col(c), F.lit(MISSING)) for c in _SUPPLIER_ARTICLE)
     return df.select(
-        F.concat_ws("-", _text("l_partkey"), _text("l_suppkey")).alias("lief_art_nr"),
-        _text("l_partkey").alias("ean"),
-        _text("l_suppkey").alias("lief_nr"),
+        *df.columns,
+        F.concat_ws("-", part, supplier).alias("lief_art_nr"),
+        part.alias("ean"),
+        supplier.alias("lief_nr"),
         (F.col("preis").cast("decimal(18,5)") + step).cast("decimal(18,5)").alias("ek_netto"),
     )
 
@@ -204,7 +225,13 @@ INPUTS = {
     "deposits": Input(_of("part"), _deposits, "p_size > 45", "p_size < 5", "p_size > 25", "p_size BETWEEN 10 AND 30"),
     "press_articles": Input(_of("part"), _press_articles, *_PART),
     "supplier_articles": Input(
-        _supplier_article_table, _supplier_articles, "zurueck > 1", "preis > 60000", "preis < 20000", "zurueck = 1"
+        _supplier_article_table,
+        _supplier_articles,
+        "zurueck > 1",
+        "preis > 60000",
+        "preis < 20000",
+        "zurueck = 1",
+        _SUPPLIER_ARTICLE,
     ),
 }
 
@@ -234,21 +261,47 @@ def staged(spark: SparkSession, sf_dir: str, load: str, day: date = DATES[0]) ->
     return staging.stage(rows, export, pair, day, load_time_of(day))
 
 
+def key_of(load: str) -> tuple[str, ...]:
+    """The columns by which the load's stages are joined (see ``vault.BY_HASH``)."""
+    export, pair = LOADS[load]
+    return INPUTS[export].by
+
+
+def _versions(made: Input) -> list[tuple[Column, Column]]:
+    """Which rows are in each of the three snapshots, and their price steps."""
+    one = F.when(F.expr(made.step_1), 1).otherwise(0)
+    two = F.when(F.expr(made.step_2), 2).otherwise(one)
+    return [(~F.expr(made.missing_1), F.lit(0)), (~F.expr(made.missing_2), one), (F.lit(True), two)]
+
+
+def _extra(made: Input) -> list[str]:
+    return [name for name in made.by if name not in BY_HASH]
+
+
 def snapshots(spark: SparkSession, sf_dir: str, load: str, days: tuple[date, ...] = DATES) -> list[DataFrame]:
     """The stages of the three snapshots."""
     export, pair = LOADS[load]
     made = INPUTS[export]
     base = made.table(spark, sf_dir)
-    one = F.when(F.expr(made.step_1), 1).otherwise(0)
-    versions = (
-        (base.filter(~F.expr(made.missing_1)), F.lit(0)),
-        (base.filter(~F.expr(made.missing_2)), one),
-        (base, F.when(F.expr(made.step_2), 2).otherwise(one)),
-    )
     return [
-        staging.stage(made.rows(df, step), export, pair, day, load_time_of(day))
-        for (df, step), day in zip(versions, days)
+        staging.stage(made.rows(base.filter(there), step), export, pair, day, load_time_of(day), _extra(made))
+        for (there, step), day in zip(_versions(made), days)
+    ]
+
+
+def stacked(spark: SparkSession, sf_dir: str, load: str, days: tuple[date, ...] = DATES) -> DataFrame:
+    """The stages of the three snapshots as one. Where rows have a key of their own, the table is read once."""
+    export, pair = LOADS[load]
+    made = INPUTS[export]
+    if made.by == BY_HASH:
+        return reduce(DataFrame.unionByName, snapshots(spark, sf_dir, load, days))
+    base = made.table(spark, sf_dir)
+    states = [
+        F.when(there, F.struct(F.lit(day).alias("_tag"), load_time(load_time_of(day)).alias("_zeit"), step.alias("_stufe")))
+        for (there, step), day in zip(_versions(made), days)
     ]
+    rows = base.select("*", F.inline(F.array_compact(F.array(*states))))
+    return staging.stage(made.rows(rows, F.col("_stufe")), export, pair, F.col("_tag"), F.col("_zeit"), made.by)
 
 
 # --- till journal -----------------------------------------------------------------
