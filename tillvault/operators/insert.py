@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 MARK_BITS = 26
 
 
-def absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash") -> DataFrame:
+def absent(
+    new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash", null_keys: Sequence[str] = ()
+) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing`` (only the key columns are read).
 
     The key may be the hash or the columns it is made of. At scale take the
-    columns: as small sorted numbers they compress to a fraction of the hashes.
+    columns: as small sorted numbers they compress to a fraction of the hashes, and
+    rows that lie by one of them need not move. In ``null_keys`` a null equals a null,
+    as it does in a hash; in the other columns it equals nothing.
     """
     names = [key] if isinstance(key, str) else list(key)
-    return new.join(existing.select(*names), names, "left_anti")
+    if not null_keys:
+        return new.join(existing.select(*names), names, "left_anti")
+    match = F.lit(True)
+    for name in names:
+        mine, theirs = F.col(f"n.{name}"), F.col(f"e.{name}")
+        match = match & (mine.eqNullSafe(theirs) if name in null_keys else mine == theirs)
+    return new.alias("n").join(existing.select(*names).alias("e"), match, "left_anti")
 
 
 def marks(keys: DataFrame, on: Sequence[str], bits: int = MARK_BITS) -> DataFrame:
@@ -47,9 +57,11 @@ def likely(existing: DataFrame, keys: DataFrame, on: Sequence[str], bits: int =
     return found.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*existing.columns)
 
 
-def insert_absent(new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash") -> DataFrame:
-    """``existing`` plus the rows of ``new`` it does not have yet."""
-    return existing.unionByName(absent(new, existing, key))
+def insert_absent(
+    new: DataFrame, existing: DataFrame, key: str | Sequence[str] = "hash", null_keys: Sequence[str] = ()
+) -> DataFrame:
+    """``existing`` plus the rows of ``new`` it does not have yet (see ``absent``)."""
+    return existing.unionByName(absent(new, existing, key, null_keys))
 
 
 def first_of_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

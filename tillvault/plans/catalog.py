@@ -24,6 +24,9 @@ ORDER_UNTIL = date(1999, 3, 1)
 ORDER_WEEKS = 4
 BAKERY = "s_nationkey % 2 = 0"  # the suppliers whose groups are bakery
 MEAT = "s_nationkey % 2 = 1"
+# What the hashes of receipts and positions are made of. An order without a customer has no till.
+RECEIPT_KEY, TILL = ("kasse_nr", "bon_nr"), ("kasse_nr",)
+POSITION_KEY = (*RECEIPT_KEY, "pos")
 
 
 def stacked(parts: list[DataFrame]) -> DataFrame:
@@ -155,7 +158,7 @@ def journal_anti_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The early receipts are loaded; a later file brings everything: only the rest is added."""
     old = _journal(spark, sf_dir).filter(_before_split("bon_abschluss"))
     new = till.journal_rows(frames.journal(spark, sf_dir, frames.RELOAD_TS))
-    return insert.insert_absent(new, old)
+    return insert.insert_absent(new, old, POSITION_KEY, TILL)
 
 
 def journal_filtered_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +187,7 @@ def receipt_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipts_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _receipts(spark, sf_dir).filter(F.col("bon_datum") < F.lit(SPLIT_DAY))
     new = till.receipts(till.journal_rows(frames.journal(spark, sf_dir, frames.RELOAD_TS)))
-    return insert.insert_absent(new, old)
+    return insert.insert_absent(new, old, RECEIPT_KEY, TILL)
 
 
 def positions_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +202,7 @@ def leading_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = till.positions(frames.journal_with_leading(spark, sf_dir).filter(_before_split("bon_abschluss")))
     new = till.positions(frames.journal_with_leading(spark, sf_dir, frames.RELOAD_TS))
-    return insert.insert_absent(new, old)
+    return insert.insert_absent(new, old, POSITION_KEY, TILL)
 
 
 def _receipt_days(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ SETTINGS = {
     # more, rather than leave it to one task because the next step could reuse the
     # join's partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Window keys are also join keys here; keep one shuffle for both.
-    "spark.sql.requireAllClusterKeysForCoPartition": "true",
+    # Rows that lie by some of a join's keys stay where they are, so that numbering,
+    # receipts and the join with loaded keys use one shuffle, the one by receipt number.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
