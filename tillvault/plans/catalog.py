@@ -337,7 +337,7 @@ def month_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tuned(query: Query) -> Query:
-    return lambda spark, sf_dir: query(tune(spark), sf_dir)
+    return lambda spark, sf_dir: query(tune(spark, frames.input_bytes(spark, sf_dir)), sf_dir)
 
 
 def catalog() -> dict[str, Query]:

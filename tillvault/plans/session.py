@@ -12,15 +12,31 @@ SETTINGS = {
     # more, rather than leave it to one task because the next step could reuse the
     # join's partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The rows of a task, whatever the size of the input: a shuffled partition of this
+    # size is some hundred thousand lines, sorted and hashed by each step of a stage.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     # Rows that lie by some of a join's keys stay where they are, so that numbering,
     # receipts and the join with loaded keys use one shuffle, the one by receipt number.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
+# Bytes of Parquet input for a shuffle partition, before adaptive execution merges small ones.
+INPUT_OF_PARTITION = 4 << 20
 
-def tune(spark: SparkSession) -> SparkSession:
+
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Sets what the jobs count on; shuffles are divided by the size of the input, if it is given.
+
+    Adaptive execution merges partitions, it does not divide them: with a fixed number
+    a task's rows, and its memory, would grow with the input.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes // INPUT_OF_PARTITION)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     return spark
 
 
