@@ -126,7 +126,10 @@ def typed(
             faults.append(F.when(text.isNotNull() & value.isNull(), F.lit(column)))
     if not strict:
         found = F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>")
-        return raw.select(*columns, *extra, found.alias(FAULTS))
+        rows = raw.select(*columns, *extra, found.alias(FAULTS))
+        # One list a line, and its own row: a filter by faults then reads the list, where it
+        # would otherwise take its place and parse each field again, several times over.
+        return rows.withColumn(FAULTS, F.explode(F.array(FAULTS)))
     rows = raw.select(*columns, *extra)
     return rows.dropDuplicates() if spec.distinct else rows
 
