@@ -103,6 +103,18 @@ def test_shuffles_are_divided_by_the_input(spark):
         spark.conf.unset(name)
 
 
+@pytest.mark.parametrize("name", ["calendar"])
+def test_receipts_are_divided_by_the_input(spark, monkeypatch, name):
+    """The lines of a task, and so its memory, stay the same as the tables grow."""
+    monkeypatch.setattr(frames, "input_bytes", lambda *_: 777 * INPUT_OF_PARTITION)
+    try:
+        plan = physical(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    parts = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan)
+    assert len(parts) > 1 and set(parts) == {"777"}
+
+
 def test_fields_are_parsed_once(spark):
     """The filter by faults stands above the list of faults: no parsing in it."""
     plan = QUERIES["parse_rejects"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
