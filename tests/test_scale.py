@@ -103,7 +103,7 @@ def test_shuffles_are_divided_by_the_input(spark):
         spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("name", ["calendar", "calendar_load", "month_totals", "months", "receipts"])
+@pytest.mark.parametrize("name", ["calendar", "calendar_load", "month_totals", "months", "receipts", "voids"])
 def test_receipts_are_divided_by_the_input(spark, monkeypatch, name):
     """The lines of a task, and so its memory, stay the same as the tables grow."""
     monkeypatch.setattr(frames, "input_bytes", lambda *_: 777 * INPUT_OF_PARTITION)
