@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, **options: str | int) -> DataFrame:
     """The rows written to the shared folder and read again: cuts lineage and survives lost executors."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(folder)
+    df.write.option("compression", "zstd").options(**options).partitionBy(*partition_by).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def records_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs meanwhile hands Python at most so many rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) alone, whatever else the table has."""
     return docs.select(

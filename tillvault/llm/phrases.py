@@ -9,7 +9,11 @@ its count. Extending it to the left looks at the words that the forward index ho
 its interval: each different word c is a longer phrase, whose forward interval begins at
 the row that c's first row maps to, and whose backward interval begins as much later as
 there are smaller words. Extending to the right is the same with the indexes exchanged.
-All phrases of a shard are extended at once, in numpy.
+The phrases of a shard are extended in numpy, so many at once that their intervals hold
+about ``PART_ROWS`` rows.
+
+A shard is a few MB: it is written as a row group and read as an Arrow batch of its own, so
+what a task holds depends on the size of a shard and not on how many shards it reads.
 
 Depth goes up one level at a time over all shards. The phrases of a level are summed
 over the shards and those found often enough, F(d), are kept; a phrase of d + 1 words can
@@ -38,13 +42,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillvault.llm.common import utf8, written
+from tillvault.llm.common import records_a_batch, utf8, written
 
 LONGEST = 4
 LEAST_COUNT = 30
 PART_OF = 80  # percent of its count that makes a phrase part of a longer one
 TOP = 2000
 SHARD_WORDS = 1 << 19
+PART_ROWS = 1 << 17
 BITMAP_BITS = 25
 
 _END = b"\xff"  # in no UTF-8 text
@@ -101,7 +106,7 @@ class Index:
     @property
     def to(self) -> np.ndarray:
         if self._to is None:
-            self._to = np.empty(len(self.symbol), np.int64)
+            self._to = np.empty(len(self.symbol), np.int32)
             self._to[np.argsort(self.symbol, kind="stable")] = np.arange(len(self.symbol))
         return self._to
 
@@ -112,9 +117,22 @@ class Phrases:
     def __init__(self, words: list[np.ndarray], forward: np.ndarray, backward: np.ndarray, size: np.ndarray):
         self.words, self.forward, self.backward, self.size = words, forward, backward, size
 
-    def only(self, keep: np.ndarray) -> Phrases:
+    def only(self, keep: np.ndarray | slice) -> Phrases:
         return Phrases([w[keep] for w in self.words], self.forward[keep], self.backward[keep], self.size[keep])
 
+    def parts(self, rows: int) -> Iterator[Phrases]:
+        """One or more parts, in order, whose intervals have about ``rows`` rows, or one phrase with more."""
+        ends = np.cumsum(self.size)
+        inner = np.searchsorted(ends, np.arange(rows, ends[-1], rows)) if len(ends) else []
+        bounds = np.unique([0, *inner, len(ends)])
+        for a, b in zip(bounds[:-1], bounds[1:]) if len(ends) else [(0, 0)]:
+            yield self.only(slice(a, b))
+
+
+def together(parts: list[Phrases]) -> Phrases:
+    words, *others = zip(*((p.words, p.forward, p.backward, p.size) for p in parts))
+    return Phrases([np.concatenate(w) for w in zip(*words)], *map(np.concatenate, others))
+
 
 class Shard:
     def __init__(self, forward: np.ndarray, backward: np.ndarray, words: int):
@@ -126,6 +144,14 @@ class Shard:
 
     def extended(self, phrases: Phrases, left: bool, last: bool = False) -> Phrases:
         """Every phrase with one more word on its left or right, and how often; ``last``: without the intervals."""
+        return together([*self.extensions(phrases, left, last)])
+
+    def extensions(self, phrases: Phrases, left: bool, last: bool = False, rows: int = PART_ROWS) -> Iterator[Phrases]:
+        """The same in parts, of which only one is worked on at a time."""
+        for part in phrases.parts(rows):
+            yield self._extended(part, left, last)
+
+    def _extended(self, phrases: Phrases, left: bool, last: bool) -> Phrases:
         index, start, other = (
             (self.forward, phrases.forward, phrases.backward) if left else (self.backward, phrases.backward, phrases.forward)
         )
@@ -296,26 +322,30 @@ def _counted(length: int, marks: dict[int, Marks]):
                 words = words.split(b" ")
                 shard = Shard(np.frombuffer(forward, np.int32), np.frombuffer(backward, np.int32), len(words))
                 names = pa.array(words, pa.binary()).view(pa.string())
+                found = shard.single()
                 if length <= 2:
-                    yield from rows(lang, sign, names, shard.single())
-                    yield from rows(lang, sign, names, shard.extended(shard.single(), left=False, last=True))
-                    continue
-                hashes = np.array([0, *map(_word_hash, words)], np.uint64)
-                found = shard.extended(shard.single(), left=False)
-                for size in range(3, length + 1):
+                    yield from rows(lang, sign, names, found)
+                hashes = np.array([0, *map(_word_hash, words)] if marks else [], np.uint64)
+                for size in range(2, length + 1):
+                    held = []
                     # To the left and to the right by turns: both indexes are needed, as neither end is fixed.
-                    found = found.only(marks[size - 1].has(lang, hashes, found.words))
-                    found = shard.extended(found, left=size % 2 == 1, last=size == length)
-                    found = found.only(marks[size - 1].has(lang, hashes, found.words[:-1]))
-                    found = found.only(marks[size - 1].has(lang, hashes, found.words[1:]))
-                yield from rows(lang, sign, names, found)
+                    for part in shard.extensions(found, left=size % 2 == 1, last=size == length):
+                        if size > 2:
+                            part = part.only(marks[size - 1].has(lang, hashes, part.words[:-1]))
+                            part = part.only(marks[size - 1].has(lang, hashes, part.words[1:]))
+                        if size == length:
+                            yield from rows(lang, sign, names, part)
+                        else:
+                            held.append(part.only(marks[size].has(lang, hashes, part.words)))
+                    if size < length:
+                        found = together(held)
 
     return run
 
 
 def shards_of(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = SHARD_WORDS) -> DataFrame:
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return written(texts.mapInArrow(_into_shards(size), _SHARD), "shards")
+    return written(texts.mapInArrow(_into_shards(size), _SHARD), "shards", **{"parquet.block.row.count.limit": 1})
 
 
 def frequent_phrases(shards: DataFrame, least: int = LEAST_COUNT, bits: int = BITMAP_BITS) -> DataFrame:
@@ -324,7 +354,8 @@ def frequent_phrases(shards: DataFrame, least: int = LEAST_COUNT, bits: int = BI
     for length in range(2, LONGEST + 1):
         grams = shards.mapInArrow(_counted(length, marks), _GRAM)
         summed = grams.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        found.append(written(summed, f"phrases{length}"))
+        with records_a_batch(shards.sparkSession, 1):
+            found.append(written(summed, f"phrases{length}"))
         if length < LONGEST:
             marks[length] = marks_of(found[-1], length, bits)
     out = found[0]
