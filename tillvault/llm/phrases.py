@@ -100,7 +100,7 @@ class Index:
 
     def __init__(self, transformed: np.ndarray, symbols: int):
         self.symbol, self.symbols = transformed, symbols
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(transformed, minlength=symbols))])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(transformed, minlength=symbols))]).astype(np.int32)
         self._to: np.ndarray | None = None
 
     @property
@@ -140,7 +140,7 @@ class Shard:
 
     def single(self) -> Phrases:
         first = self.forward.first
-        return Phrases([np.arange(1, self.symbols)], first[1:-1], first[1:-1], np.diff(first)[1:])
+        return Phrases([np.arange(1, self.symbols, dtype=np.int32)], first[1:-1], first[1:-1], np.diff(first)[1:])
 
     def extended(self, phrases: Phrases, left: bool, last: bool = False) -> Phrases:
         """Every phrase with one more word on its left or right, and how often; ``last``: without the intervals."""
@@ -167,14 +167,15 @@ class Shard:
             order = np.argsort(key, kind="stable")
             key = key[order]
         at = np.flatnonzero(np.diff(key, prepend=-1))
-        counts = np.diff(np.append(at, len(key)))
+        counts = np.diff(np.append(at, len(key))).astype(np.int32)
         of, symbol = np.divmod(key[at], self.symbols)
+        symbol = symbol.astype(np.int32)
         words = [w[of] for w in phrases.words]
         words = [symbol, *words] if left else [*words, symbol]
         near = far = counts
         if not last:
             near = index.to[rows[order[at]]]
-            far = other[of] + at - begins[of]  # as many rows later as there are smaller symbols
+            far = (other[of] + at - begins[of]).astype(np.int32)  # as many rows later as there are smaller symbols
         found = Phrases(words, near if left else far, far if left else near, counts)
         return found.only(symbol != 0)
 
